@@ -120,12 +120,12 @@ def with_(*views: str) -> str:
 
 # Features and score of every (resume, posting) pair, by brute force.
 PAIR_SCORES = f"""
-rf AS (
+rf AS MATERIALIZED (
   SELECT resume_id, preferred_remote, list_sort(list_distinct([lower(s) FOR s IN skills])) AS rs,
     {tokens("headline || chr(10) || summary || chr(10) || array_to_string(skills, chr(10)) || chr(10)"
             " || headline || chr(10) || segment || chr(10) || bullet")} AS rt
   FROM resumes),
-pf AS (
+pf AS MATERIALIZED (
   SELECT posting_id, remote_type, created_at,
     list_sort(list_distinct([lower(s) FOR s IN skills])) AS js,
     {tokens("title")} AS tt,
@@ -146,7 +146,7 @@ measured AS (
     CASE WHEN kw_size = 0 THEN 0 ELSE least(1.0::DOUBLE, n_kw::DOUBLE / least(kw_size, 40)) END
       AS keyword_presence
   FROM counted WHERE n_skills + n_title + n_kw > 0),
-pair_scores AS (
+pair_scores AS MATERIALIZED (
   SELECT *, round(greatest(0::DOUBLE, least(1::DOUBLE, 0.55::DOUBLE * skill_coverage
       + 0.25::DOUBLE * title_similarity + 0.20::DOUBLE * keyword_presence + remote_bonus
     ))::DECIMAL(38, 20), 4)::DOUBLE AS score,
