@@ -2,7 +2,9 @@
 
 from hireloom.plans import (  # noqa: F401
     catalog_queries,
+    ingest_queries,
     matching_queries,
+    tracking_queries,
 )
 from hireloom.plans.registry import QUERIES
 

@@ -132,20 +132,35 @@ pf AS MATERIALIZED (
     list_distinct(list_concat({tokens("title")},
       list_filter({tokens("description")}, lambda t: length(t) > 3))) AS kw
   FROM postings),
+overlap AS (
+  SELECT resume_id, posting_id, sum(sk)::BIGINT AS n_skills, sum(ti)::BIGINT AS n_title,
+    sum(ke)::BIGINT AS n_kw
+  FROM (
+    SELECT resume_id, posting_id, 1 AS sk, 0 AS ti, 0 AS ke
+    FROM (SELECT resume_id, unnest(rs) AS x FROM rf) JOIN (SELECT posting_id, unnest(js) AS x FROM pf)
+      USING (x)
+    UNION ALL
+    SELECT resume_id, posting_id, 0, 1, 0
+    FROM (SELECT resume_id, unnest(rt) AS x FROM rf) JOIN (SELECT posting_id, unnest(tt) AS x FROM pf)
+      USING (x)
+    UNION ALL
+    SELECT resume_id, posting_id, 0, 0, 1
+    FROM (SELECT resume_id, unnest(rt) AS x FROM rf) JOIN (SELECT posting_id, unnest(kw) AS x FROM pf)
+      USING (x))
+  GROUP BY 1, 2),
 counted AS (
-  SELECT resume_id, posting_id, created_at, rs, js, rt, tt,
-    len(list_intersect(js, rs)) AS n_skills, len(list_intersect(tt, rt)) AS n_title,
-    len(list_intersect(kw, rt)) AS n_kw, len(kw) AS kw_size,
+  SELECT resume_id, posting_id, created_at, rs, js, rt, tt, n_skills, n_title, n_kw,
+    len(kw) AS kw_size,
     CASE WHEN preferred_remote = remote_type THEN 0.05::DOUBLE
       WHEN preferred_remote = 'remote' AND remote_type <> 'onsite' THEN 0.02::DOUBLE
       ELSE 0::DOUBLE END AS remote_bonus
-  FROM rf, pf),
+  FROM overlap JOIN rf USING (resume_id) JOIN pf USING (posting_id)),
 measured AS (
   SELECT *, n_skills::DOUBLE / len(js) AS skill_coverage,
     CASE WHEN len(tt) = 0 THEN 0 ELSE n_title::DOUBLE / len(tt) END AS title_similarity,
     CASE WHEN kw_size = 0 THEN 0 ELSE least(1.0::DOUBLE, n_kw::DOUBLE / least(kw_size, 40)) END
       AS keyword_presence
-  FROM counted WHERE n_skills + n_title + n_kw > 0),
+  FROM counted),
 pair_scores AS MATERIALIZED (
   SELECT *, round(greatest(0::DOUBLE, least(1::DOUBLE, 0.55::DOUBLE * skill_coverage
       + 0.25::DOUBLE * title_similarity + 0.20::DOUBLE * keyword_presence + remote_bonus
