@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hireloom.functions.text import blank_to_null, clean
+from hireloom.functions.text import blank_to_null, clean, strip
 
 # Shapes of a job-view URL.
 JOB_ID_PATTERN = (
@@ -35,10 +35,10 @@ def first_text(html: Column, patterns: list[str]) -> Column:
 
 def job_id(url: Column) -> Column:
     """Job id of a URL or of bare digits; null when there is none."""
-    text = clean(url)
+    text = strip(url)
     return F.coalesce(
         blank_to_null(F.regexp_extract(text, JOB_ID_PATTERN, 1)),
-        F.when(text.rlike(r"^\d{6,}$"), text),
+        blank_to_null(F.regexp_extract(text, r"^\d{6,}$", 0)),
     )
 
 

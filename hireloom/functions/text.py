@@ -25,7 +25,8 @@ def strip(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    """Null for empty text. The value is bound once, so nested use stays small."""
+    return F.get(F.filter(F.array(c), lambda x: x != ""), F.lit(0))
 
 
 def clean(c: Column) -> Column:
@@ -34,8 +35,8 @@ def clean(c: Column) -> Column:
 
 def clean_or_null_word(c: Column) -> Column:
     """As ``clean``; the words null, none, n/a and na count as missing too."""
-    text = clean(c)
-    return F.when(~F.lower(text).isin(vocab.NULL_WORDS), text)
+    missing = ["", *vocab.NULL_WORDS]
+    return F.get(F.filter(F.array(strip(c)), lambda x: ~F.lower(x).isin(missing)), F.lit(0))
 
 
 def company_key(name: Column) -> Column:
@@ -56,7 +57,7 @@ def tokens(text: Column) -> Column:
 
 
 def text_blob(*parts: Column) -> Column:
-    return F.lower(F.concat_ws(" ", *[blank_to_null(p) for p in parts]))
+    return F.lower(F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts]))
 
 
 def word_count(text: Column) -> Column:

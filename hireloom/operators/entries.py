@@ -223,7 +223,7 @@ def _degree_lines(line: Column) -> Column:
         F.transform(F.split(line, r"(?<=\bCGPA)\s+(?=[A-Z])"), lambda p: _trim(p, " |")),
         lambda p: p != "",
     )
-    usable = parts[0].rlike(r"^\p{Lu}|^(?i:master|bachelor|bca|mca)")
+    usable = F.get(parts, F.lit(0)).rlike(r"^\p{Lu}|^(?i:master|bachelor|bca|mca)")
     return (
         F.when((F.size(parts) > 1) & usable, parts)
         .when(F.size(parts) > 1, F.array(line))
@@ -235,7 +235,6 @@ def _degree_lines(line: Column) -> Column:
 def _education_entry(line: Column, i: Column) -> Column:
     grade = rf"(?i){vocab.GRADE_PATTERN}"
     date = rf"(?iU)\b({vocab.DATE_TOKEN}|{vocab.PRESENT})\b"
-    last_date = rf"(?iUs)^(.*)\b({vocab.DATE_TOKEN}|{vocab.PRESENT})\b"
     graded = line.rlike(grade)
     score = F.coalesce(
         blank_to_null(F.regexp_extract(line, grade, 1)),
@@ -247,7 +246,7 @@ def _education_entry(line: Column, i: Column) -> Column:
     def dated(text: Column) -> Column:
         found = F.regexp_extract_all(text, F.lit(date), F.lit(1))
         end = F.try_element_at(found, F.lit(-1))
-        at = F.length(F.substring_index(text, end, -1))
+        at = F.length(F.call_function("substring_index", text, end, F.lit(-1)))
         cut = F.concat(
             F.substring(text, F.lit(1), F.length(text) - at - F.length(end)), F.right(text, at)
         )

@@ -143,7 +143,7 @@ def segments(text: Column) -> Column:
     def collect(body: Column) -> Column:
         def one(name: Column) -> Column:
             mine = F.filter(body, lambda e: e["section"] == name)
-            first = F.filter(mine, lambda e: strip(e["text"]) != "")[0]["no"]
+            first = F.get(F.filter(mine, lambda e: strip(e["text"]) != ""), F.lit(0))["no"]
             return let(
                 F.filter(
                     mine,

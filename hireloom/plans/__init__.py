@@ -2,6 +2,7 @@
 
 from hireloom.plans import (  # noqa: F401
     catalog_queries,
+    document_queries,
     ingest_queries,
     matching_queries,
     tracking_queries,

@@ -42,7 +42,7 @@ resume_first AS (
   SELECT o_custkey, p_name, p_type FROM resume_lines
   QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY l_linenumber, l_partkey) = 1),
 resumes AS (
-  SELECT c_custkey AS resume_id, c_name AS name, f.p_name AS headline,
+  SELECT c_custkey AS resume_id, translate(c_name, '#0123456789', ' abcdefghij') AS name, f.p_name AS headline,
     'Works in ' || lower(c_mktsegment) AS summary,
     (SELECT list(skill ORDER BY skill) FROM resume_skills s WHERE s.o_custkey = c_custkey) AS skills,
     upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS segment,

@@ -110,7 +110,7 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.join(table(spark, sf_dir, "customer"), "c_custkey").select(
         F.col("c_custkey").alias("resume_id"),
         F.col("c_custkey").alias("profile_id"),
-        F.col("c_name").alias("name"),
+        F.translate("c_name", "#0123456789", " abcdefghij").alias("name"),
         F.col("line.p_name").alias("headline"),
         F.concat(F.lit("Works in "), F.lower("c_mktsegment")).alias("summary"),
         "skills",

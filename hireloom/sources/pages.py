@@ -9,7 +9,7 @@ from hireloom import vocab
 from hireloom.functions.classify import remote_type_from_text
 from hireloom.functions.html import first_text, job_id, job_url, strip_html
 from hireloom.functions.skills import display_skill, inferred_skills
-from hireloom.functions.text import blank_to_null, clean, strip
+from hireloom.functions.text import blank_to_null, clean, let, strip
 from hireloom.sources.providers import to_observations
 
 # Markup patterns of a job page, tried in this order.
@@ -55,16 +55,24 @@ def _page(
 
 
 def from_markup(html: Column) -> Column:
-    title = first_text(html, TITLE_PATTERNS)
-    description = first_text(html, DESCRIPTION_PATTERNS)
-    page = _page(
-        F.coalesce(title, F.lit(vocab.PAGE_UNTITLED)),
-        F.coalesce(first_text(html, COMPANY_PATTERNS), F.lit(vocab.UNKNOWN_COMPANY)),
-        description,
+    def read(found: Column) -> Column:
+        page = _page(
+            F.coalesce(found["title"], F.lit(vocab.PAGE_UNTITLED)),
+            F.coalesce(found["company"], F.lit(vocab.UNKNOWN_COMPANY)),
+            found["description"],
+            found["location"],
+            "html",
+        )
+        return F.when(found["title"].isNotNull() | found["description"].isNotNull(), page)
+
+    found = _page(
+        first_text(html, TITLE_PATTERNS),
+        first_text(html, COMPANY_PATTERNS),
+        first_text(html, DESCRIPTION_PATTERNS),
         first_text(html, LOCATION_PATTERNS),
         "html",
     )
-    return F.when(title.isNotNull() | description.isNotNull(), page)
+    return let(found, read)
 
 
 def _text(v: Column, path: str) -> Column:
@@ -109,97 +117,77 @@ def from_json_ld(html: Column) -> Column:
         )
 
     postings = F.filter(objects, lambda v: v.isNotNull() & is_posting(v))
-    return F.transform(F.slice(postings, 1, 1), read).getItem(0)
+    return F.get(F.transform(F.slice(postings, 1, 1), read), F.lit(0))
 
 
 def from_og(html: Column) -> Column:
     """Open-Graph title and description; "X hiring Y in Z" is split in three."""
-    title = first_text(html, [OG_TITLE])
-    split = title.rlike(HIRING)
 
-    def part(group: int) -> Column:
-        return F.when(split, strip(F.regexp_extract(title, HIRING, group)))
+    def read(title: Column) -> Column:
+        def part(group: int) -> Column:
+            return blank_to_null(strip(F.regexp_extract(title, HIRING, group)))
 
-    page = _page(
-        F.coalesce(part(2), strip(title)),
-        F.coalesce(part(1), F.lit(vocab.UNKNOWN_COMPANY)),
-        first_text(html, [OG_DESCRIPTION]),
-        part(3),
-        "og_meta",
-    )
-    return F.when(title.isNotNull(), page)
+        page = _page(
+            F.coalesce(part(2), strip(title)),
+            F.coalesce(part(1), F.lit(vocab.UNKNOWN_COMPANY)),
+            first_text(html, [OG_DESCRIPTION]),
+            part(3),
+            "og_meta",
+        )
+        return F.when(title.isNotNull(), page)
 
+    return let(first_text(html, [OG_TITLE]), read)
 
-def from_json_payload(body: Column) -> Column:
-    """A JSON answer whose values may be plain strings or nested objects."""
-    v = F.try_parse_json(body)
 
-    def first(*paths: str) -> Column:
-        return F.coalesce(*[_text(v, p) for p in paths])
+def _first(v: Column, *paths: str) -> Column:
+    """First filled text among paths; an object counts only through its inner fields."""
+    return F.coalesce(*[_plain(v, p) for p in paths])
 
-    def pick(path: str, *inner: str) -> list[str]:
-        return [f"{path}.{i}" for i in inner] + [path]
 
-    page = _page(
-        F.coalesce(
-            strip(
-                F.coalesce(
-                    _scalar_or(v, "$.title", ["text", "name"]),
-                    _scalar_or(v, "$.normalizedTitle", ["text", "name"]),
-                )
-            ),
-            F.lit(vocab.PAGE_UNTITLED),
-        ),
-        F.coalesce(
-            clean(
-                F.coalesce(
-                    first(
-                        "$.companyDetails.companyName",
-                        "$.companyDetails.name",
-                        "$.companyDetails.universalName",
-                    ),
-                    _plain(v, "$.companyDetails"),
-                    first("$.company.companyName", "$.company.name", "$.company.universalName"),
-                    _plain(v, "$.company"),
-                )
+def _plain(v: Column, path: str) -> Column:
+    return blank_to_null(
+        let(
+            F.try_variant_get(v, path, "variant"),
+            lambda n: F.when(
+                ~F.coalesce(F.schema_of_variant(n).rlike("^(OBJECT|ARRAY)"), F.lit(False)),
+                F.try_variant_get(n, "$", "string"),
             ),
-            F.lit(vocab.UNKNOWN_COMPANY),
-        ),
-        strip_html(
-            F.coalesce(
-                _scalar_or(v, "$.description", ["text", "html"]),
-                _scalar_or(v, "$.jobDescription", ["text", "html"]),
-            )
-        ),
-        F.coalesce(
-            _scalar_or(v, "$.formattedLocation", ["default", "name"]),
-            _scalar_or(v, "$.location", ["default", "name"]),
-        ),
-        "json",
+        )
     )
-    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False))
-    return F.when(is_object & (F.schema_of_variant(v) != "OBJECT<>"), page)
 
 
-def _plain(v: Column, path: str) -> Column:
-    """A text value; an object at the path gives null instead of its JSON."""
-    node = F.try_variant_get(v, path, "variant")
-    return F.when(
-        ~F.coalesce(F.schema_of_variant(node).rlike("^(OBJECT|ARRAY)"), F.lit(False)),
-        _text(v, path),
-    )
+def from_json_payload(body: Column) -> Column:
+    """A JSON answer whose values may be plain strings or nested objects."""
 
+    def nested(*keys: str, inner: tuple[str, ...]) -> list[str]:
+        return [p for k in keys for p in (*[f"$.{k}.{i}" for i in inner], f"$.{k}")]
+
+    def read(v: Column) -> Column:
+        title = _first(v, *nested("title", "normalizedTitle", inner=("text", "name")))
+        company = _first(
+            v,
+            *nested(
+                "companyDetails", "company", inner=("companyName", "name", "universalName")
+            ),
+        )
+        page = _page(
+            F.coalesce(strip(title), F.lit(vocab.PAGE_UNTITLED)),
+            F.coalesce(clean(company), F.lit(vocab.UNKNOWN_COMPANY)),
+            strip_html(_first(v, *nested("description", "jobDescription", inner=("text", "html")))),
+            _first(v, *nested("formattedLocation", "location", inner=("default", "name"))),
+            "json",
+        )
+        return F.when(F.coalesce(F.schema_of_variant(v).rlike("^OBJECT<."), F.lit(False)), page)
 
-def _scalar_or(v: Column, path: str, inner: list[str]) -> Column:
-    return F.coalesce(*[_text(v, f"{path}.{i}") for i in inner], _plain(v, path))
+    return let(F.try_parse_json(body), read)
 
 
 def from_pasted(description: Column) -> Column:
     """Description-only record, titled by its first non-blank line."""
     text = strip(description)
-    first_line = F.filter(
-        F.transform(F.split(text, r"\r\n|\r|\n"), strip), lambda s: s != ""
-    ).getItem(0)
+    first_line = F.get(
+        F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), strip), lambda s: s != ""), F.lit(0)
+    )
     page = _page(
         F.coalesce(F.substring(first_line, 1, 120), F.lit(vocab.PAGE_UNTITLED)),
         F.lit(vocab.PASTED_COMPANY),
@@ -213,7 +201,7 @@ def from_pasted(description: Column) -> Column:
 def _with_override(page: Column, override: Column, always: bool) -> Column:
     """Put a pasted description in place of a missing or short one."""
     weak = page["description"].isNull() | (F.length(page["description"]) < SHORT_DESCRIPTION)
-    use = blank_to_null(override).isNotNull() & (F.lit(True) if always else weak)
+    use = (F.coalesce(override, F.lit("")) != "") & (F.lit(True) if always else weak)
     return F.when(
         page.isNotNull(),
         page.withField(
@@ -222,40 +210,36 @@ def _with_override(page: Column, override: Column, always: bool) -> Column:
     )
 
 
+def _useful(page: Column) -> Column:
+    """A page with a description or a real title; else the next extractor is tried."""
+    filled = F.coalesce(page["description"], F.lit("")) != ""
+    return F.when(filled | (page["title"] != vocab.PAGE_UNTITLED), page)
+
+
 def read_pages(pages: DataFrame, override: str | None = None) -> DataFrame:
     """Add ``page``: JSON answer, markup, JSON-LD, Open Graph, then pasted text.
 
-    An extractor that finds neither a description nor a real title gives way
-    to the next one. ``override`` names a column with a pasted description.
+    ``override`` names a column with a pasted description.
     """
     html = F.col("html")
     pasted = F.col(override) if override else F.lit(None).cast("string")
-    is_json = F.ltrim(html).startswith("{")
 
-    def useful(page: Column) -> Column:
-        return F.when(
-            blank_to_null(page["description"]).isNotNull()
-            | (page["title"] != vocab.PAGE_UNTITLED),
-            page,
-        )
+    def attempt(page: Column) -> Column:
+        return let(page, lambda p: let(_with_override(p, pasted, always=False), _useful))
 
-    return (
-        pages.withColumn("_json", F.when(is_json, from_json_payload(html)))
-        .withColumn("_html", from_markup(html))
-        .withColumn("_ld", from_json_ld(html))
-        .withColumn("_og", from_og(html))
-        .withColumn(
-            "page",
-            F.coalesce(
-                _with_override(F.col("_json"), pasted, always=True),
-                *[
-                    useful(_with_override(F.col(c), pasted, always=False))
-                    for c in ("_html", "_ld", "_og")
-                ],
-                from_pasted(pasted),
-            ),
-        )
-        .drop("_json", "_html", "_ld", "_og")
+    answer = let(
+        F.when(F.ltrim(html).startswith("{"), from_json_payload(html)),
+        lambda p: _with_override(p, pasted, always=True),
+    )
+    return pages.withColumn(
+        "page",
+        F.coalesce(
+            answer,
+            attempt(from_markup(html)),
+            attempt(from_json_ld(html)),
+            attempt(from_og(html)),
+            from_pasted(pasted),
+        ),
     )
 
 
