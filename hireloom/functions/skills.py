@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hireloom import vocab
-from hireloom.functions.text import is_lower, let, skill_key, str_array, title_case
+from hireloom.functions.text import clean_list, is_lower, let, skill_key, str_array, str_map, title_case
 
 
 def _term_table() -> Column:
@@ -38,8 +38,7 @@ def inferred_skills(text: Column) -> Column:
 
 def display_skill(skill: Column) -> Column:
     shown = F.when(is_lower(skill), title_case(skill)).otherwise(skill)
-    aliases = F.create_map(*[F.lit(x) for kv in vocab.SKILL_DISPLAY.items() for x in kv])
-    return F.coalesce(F.try_element_at(aliases, skill), shown)
+    return F.coalesce(F.try_element_at(str_map(vocab.SKILL_DISPLAY), skill), shown)
 
 
 def title_skill(skill: Column) -> Column:
@@ -66,6 +65,4 @@ def skills_from_variant(items: Column) -> Column:
             kind.startswith("OBJECT"), named
         )
 
-    from hireloom.functions.text import clean_list
-
     return F.coalesce(clean_list(F.transform(rows, one)), str_array([]))

@@ -15,8 +15,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def str_array(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    """A constant list, written as one SQL literal to keep plan building quick."""
+    if not values:
+        return F.expr("cast(array() AS array<string>)")
+    return F.expr(f"array({', '.join(_sql_text(v) for v in values)})")
+
+
+def str_map(pairs: dict[str, str]) -> Column:
+    """A constant lookup table."""
+    return F.expr(
+        "map(" + ", ".join(f"{_sql_text(k)}, {_sql_text(v)}" for k, v in pairs.items()) + ")"
+    )
 
 
 def strip(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hireloom import vocab
-from hireloom.functions.text import let, strip, str_array, word_count
+from hireloom.functions.text import let, str_array, str_map, strip, word_count
 
 _LINE_END = "\\r\\n|[\\n\\r\\u000B\\u000C\\u001C-\\u001E\\u0085\\u2028\\u2029]"
 _ALIASES = {alias: key for key, names in vocab.SECTION_HEADINGS.items() for alias in names}
@@ -54,11 +54,10 @@ def numbered(text: Column) -> Column:
 
 def section_name(line: Column) -> Column:
     """Section opened by a line, or null. A long sentence opens none."""
-    table = F.create_map(*[F.lit(x) for kv in _ALIASES.items() for x in kv])
     alias = F.lower(F.regexp_extract(line, _HEADING, 1))
     sentence = line.endswith(".") & (word_count(line) > 6)
     return F.when(
-        (F.length(line) <= _LONGEST_HEADING) & ~sentence, F.try_element_at(table, alias)
+        (F.length(line) <= _LONGEST_HEADING) & ~sentence, F.try_element_at(str_map(_ALIASES), alias)
     )
 
 
@@ -137,30 +136,32 @@ def _body(lines: Column) -> Column:
     return let(runs, parts)
 
 
+def _filled_numbers(rows: Column) -> Column:
+    return F.transform(F.filter(rows, lambda e: e["text"].rlike(r"\S")), lambda e: e["no"])
+
+
 def segments(text: Column) -> Column:
     """Sections in fixed order: name, text, first and last line, line ids."""
 
     def collect(body: Column) -> Column:
         def one(name: Column) -> Column:
             mine = F.filter(body, lambda e: e["section"] == name)
-            first = F.get(F.filter(mine, lambda e: strip(e["text"]) != ""), F.lit(0))["no"]
-            return let(
-                F.filter(
-                    mine,
-                    lambda e: (name == "header") | (e["no"] >= F.coalesce(first, F.lit(1 << 30))),
-                ),
-                lambda rows: F.struct(
-                    name.alias("section"),
-                    strip(
-                        F.array_join(F.transform(rows, lambda e: e["text"]), "\n")
-                    ).alias("text"),
-                    F.try_element_at(rows, F.lit(1))["no"].alias("start_line"),
-                    F.try_element_at(rows, F.lit(-1))["no"].alias("end_line"),
-                    F.transform(
-                        F.filter(rows, lambda e: strip(e["text"]) != ""),
-                        lambda e: line_id(e["no"]),
-                    ).alias("line_ids"),
-                ),
+            return let(mine, lambda rows: let(_filled_numbers(rows), lambda f: build(name, rows, f)))
+
+        def build(name: Column, rows: Column, filled: Column) -> Column:
+            whole_header = name == "header"
+            first = F.when(whole_header, F.get(rows, F.lit(0))["no"]).otherwise(
+                F.get(filled, F.lit(0))
+            )
+            last = F.when(
+                whole_header | (F.size(filled) > 0), F.try_element_at(rows, F.lit(-1))["no"]
+            )
+            return F.struct(
+                name.alias("section"),
+                strip(F.array_join(F.transform(rows, lambda e: e["text"]), "\n")).alias("text"),
+                first.alias("start_line"),
+                last.alias("end_line"),
+                F.transform(filled, line_id).alias("line_ids"),
             )
 
         only_header = F.forall(body, lambda e: e["section"] == "header")

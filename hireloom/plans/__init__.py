@@ -5,6 +5,8 @@ from hireloom.plans import (  # noqa: F401
     document_queries,
     ingest_queries,
     matching_queries,
+    resume_queries,
+    stream_queries,
     tracking_queries,
 )
 from hireloom.plans.registry import QUERIES

@@ -6,14 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hireloom import vocab
-from hireloom.functions.text import strip
+from hireloom.functions.text import str_map, strip
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """File name, type by extension, and content of every file under a folder."""
-    by_extension = F.create_map(
-        *[F.lit(x) for mime, ext in vocab.UPLOAD_TYPES.items() for x in (ext, mime)]
-    )
+    by_extension = str_map({ext: mime for mime, ext in vocab.UPLOAD_TYPES.items()})
     name = F.element_at(F.split("path", "/"), -1)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(
@@ -34,7 +32,7 @@ def safe_title(filename: Column) -> Column:
 def register(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted files with title, checksum and extension; rejected ones with a reason."""
     mime = F.lower(F.trim(F.split(F.coalesce("mime_type", F.lit("")), ";")[0]))
-    types = F.create_map(*[F.lit(x) for kv in vocab.UPLOAD_TYPES.items() for x in kv])
+    types = str_map(vocab.UPLOAD_TYPES)
     size = F.octet_length("content")
     reason = (
         F.when(F.coalesce(size, F.lit(0)) == 0, "empty_file")
