@@ -43,169 +43,193 @@ def _node(v: Column, key: str) -> Column:
     )
 
 
-def _scalar(v: Column) -> Column:
-    compound = F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)")
-    return F.when(~F.coalesce(compound, F.lit(False)), F.try_variant_get(v, "$", "string"))
-
-
-def _text(v: Column, *keys: str) -> Column:
-    """First filled value among alias keys, trimmed."""
-    return clean(F.coalesce(*[blank_to_null(_scalar(_node(v, k))) for k in keys]))
-
+def _items(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
 
-def _word(v: Column, *keys: str) -> Column:
-    """As ``_text``, where words such as n/a count as missing."""
-    return clean_or_null_word(F.coalesce(*[blank_to_null(_scalar(_node(v, k))) for k in keys]))
 
+def _is(v: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(v).rlike(f"^({kind})"), F.lit(False))
 
-def _items(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<variant>")
 
+def _scalar(v: Column) -> Column:
+    """Text of a plain value; an object gives the text of its value, a list none."""
+    return F.when(
+        _is(v, "OBJECT"), F.try_variant_get(v, "$.value", "string")
+    ).when(~_is(v, "ARRAY"), F.try_variant_get(v, "$", "string"))
 
-def _is_text(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
 
+def _opened(v: Column, tidy: Callable[[Column], Column], separators: str) -> Column:
+    """An object as two lookups by key: ``t`` its texts and ``l`` its lists.
 
-def _strings(v: Column, *keys: str, separators: str = r"[,\n]") -> Column:
-    """First filled list among alias keys; separated text counts as a list."""
+    All keys are read in one pass, so alias keys cost only a lookup each.
+    """
 
-    def one(key: str) -> Column:
-        node = _node(v, key)
-        opened = F.transform(
-            _items(node), lambda x: F.coalesce(F.try_variant_get(x, "$.value", "variant"), x)
-        )
+    def strings(n: Column) -> Column:
         listed = F.filter(
-            F.transform(opened, lambda x: clean(_scalar(x))), lambda s: s.isNotNull()
+            F.transform(_items(n), lambda x: tidy(_scalar(x))), lambda s: s.isNotNull()
         )
-        out = F.coalesce(
-            listed, F.when(_is_text(node), string_list(_scalar(node), separators))
+        split = F.when(_is(n, "STRING"), string_list(_scalar(n), separators))
+        return F.filter(F.coalesce(listed, split), lambda s: s != "")
+
+    def maps(m: Column) -> Column:
+        plain = F.transform_values(
+            m, lambda _, n: F.coalesce(F.try_variant_get(n, "$.value", "variant"), n)
+        )
+        return let(
+            plain,
+            lambda p: F.struct(
+                F.transform_values(p, lambda _, n: tidy(_scalar(n))).alias("t"),
+                F.transform_values(p, lambda _, n: strings(n)).alias("l"),
+            ),
         )
-        return F.when(F.size(out) > 0, out)
 
-    return F.coalesce(*[one(k) for k in keys], str_array([]))
+    return maps(F.try_variant_get(v, "$", "map<string,variant>"))
+
+
+def _text(o: Column, *keys: str) -> Column:
+    """First filled value among alias keys."""
+    return F.coalesce(*[F.try_element_at(o["t"], F.lit(k)) for k in keys])
+
+
+def _strings(o: Column, *keys: str) -> Column:
+    """First filled list among alias keys; separated text counts as a list."""
+    found = F.filter(
+        F.array(*[F.try_element_at(o["l"], F.lit(k)) for k in keys]), lambda x: F.size(x) > 0
+    )
+    return F.coalesce(F.get(found, F.lit(0)), str_array([]))
 
 
 def _named(v: Column, *keys: str) -> Column:
     """Skill-like lists: strings, or objects with a name or skill."""
 
-    def one(key: str) -> Column:
-        names = F.transform(
-            _items(_node(v, key)),
-            lambda x: F.coalesce(clean(_scalar(x)), _text(x, "name", "skill")),
+    def name(x: Column) -> Column:
+        return F.coalesce(
+            clean(_scalar(x)),
+            clean(F.try_variant_get(x, "$.name", "string")),
+            clean(F.try_variant_get(x, "$.skill", "string")),
         )
-        out = F.filter(names, lambda s: s.isNotNull())
-        return F.when(F.size(out) > 0, out)
 
-    return F.coalesce(*[one(k) for k in keys], str_array([]))
+    lists = F.transform(
+        F.array(*[_items(_node(v, k)) for k in keys]),
+        lambda xs: F.filter(F.transform(xs, name), lambda s: s.isNotNull()),
+    )
+    found = F.filter(lists, lambda x: F.size(x) > 0)
+    return F.coalesce(F.get(found, F.lit(0)), str_array([]))
 
 
-def _flag(v: Column, *keys: str) -> Column:
-    out = F.lit(False)
-    for key in keys:
-        word = F.lower(strip(_scalar(_node(v, key))))
-        out = out | F.coalesce(
-            word.isin("1", "true", "yes", "y", "present", "current"), F.lit(False)
-        )
-    return out
+def _flag(o: Column, *keys: str) -> Column:
+    yes = str_array(["1", "true", "yes", "y", "present", "current"])
+    words = F.array(*[F.lower(F.try_element_at(o["t"], F.lit(k))) for k in keys])
+    return F.coalesce(F.arrays_overlap(yes, F.array_compact(words)), F.lit(False))
+
 
+def _read_canonical(v: Column) -> Column:
+    return _opened(v, clean, r"[,\n]")
 
-def _objects(v: Column, key: str, build: Callable[[Column, Column], Column]) -> Column:
+
+def _read_extracted(v: Column) -> Column:
+    return _opened(v, clean_or_null_word, r"[,;\n]")
+
+
+def _objects(
+    v: Column,
+    key: str,
+    build: Callable[[Column, Column, Column], Column],
+    read: Callable[[Column], Column] = _read_canonical,
+) -> Column:
     """Map the objects of a list; anything else in it is skipped."""
-    rows = F.filter(
-        _items(_node(v, key)),
-        lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)),
-    )
-    return F.transform(rows, build)
+    rows = F.filter(_items(_node(v, key)), lambda x: _is(x, "OBJECT"))
+    return F.transform(rows, lambda x, i: let(read(x), lambda o: build(o, x, i)))
 
 
-def _ident(v: Column, prefix: str, i: Column) -> Column:
+def _ident(o: Column, prefix: str, i: Column) -> Column:
     number = F.lpad((i + 1).cast("string"), 2, "0")
-    return F.coalesce(_text(v, "id"), F.concat(F.lit(f"{prefix}_"), number)).alias("id")
+    return F.coalesce(_text(o, "id"), F.concat(F.lit(f"{prefix}_"), number)).alias("id")
 
 
-def _period(v: Column, current: Column, *end_keys: str) -> list[Column]:
-    end = _text(v, *end_keys)
+def _period(o: Column, current: Column, *end_keys: str) -> list[Column]:
+    end = _text(o, *end_keys)
     now = current | F.coalesce(is_present(end), F.lit(False))
     return [F.when(~now, end).alias("end_date"), now.alias("is_current")]
 
 
-def _facts(v: Column) -> Column:
-    return _strings(v, "source_fact_ids").alias("source_fact_ids")
+def _facts(o: Column) -> Column:
+    return _strings(o, "source_fact_ids").alias("source_fact_ids")
 
 
 def _struct(fields: dict[str, Column]) -> Column:
     return F.struct(*[c.alias(n) for n, c in fields.items()])
 
 
-def _experience(v: Column, i: Column) -> Column:
+def _experience(o: Column, v: Column, i: Column) -> Column:
     return F.struct(
-        _ident(v, "experience", i),
-        _text(v, "company", "organization").alias("company"),
-        _text(v, "title", "role", "job_title").alias("title"),
-        _text(v, "location").alias("location"),
-        _text(v, "start_date", "start").alias("start_date"),
-        *_period(v, _flag(v, "is_current"), "end_date"),
-        _text(v, "summary", "description").alias("summary"),
-        _strings(v, "bullets", "achievements", "details").alias("bullets"),
-        _facts(v),
+        _ident(o, "experience", i),
+        _text(o, "company", "organization").alias("company"),
+        _text(o, "title", "role", "job_title").alias("title"),
+        _text(o, "location").alias("location"),
+        _text(o, "start_date", "start").alias("start_date"),
+        *_period(o, _flag(o, "is_current"), "end_date"),
+        _text(o, "summary", "description").alias("summary"),
+        _strings(o, "bullets", "achievements", "details").alias("bullets"),
+        _facts(o),
     )
 
 
-def _education(v: Column, i: Column) -> Column:
+def _education(o: Column, v: Column, i: Column) -> Column:
     return F.struct(
-        _ident(v, "education", i),
-        _text(v, "institution", "school", "college", "university").alias("institution"),
-        _text(v, "degree", "title").alias("degree"),
-        _text(v, "specialization", "field", "major").alias("specialization"),
-        _text(v, "location").alias("location"),
-        _text(v, "start_date", "start").alias("start_date"),
-        *_period(v, _flag(v, "is_current"), "end_date", "graduation_date", "year"),
-        _text(v, "score", "gpa", "cgpa").alias("score"),
-        _text(v, "score_type", "grade_scale").alias("score_type"),
-        _text(v, "summary", "description").alias("summary"),
-        _strings(v, "details").alias("details"),
-        _facts(v),
+        _ident(o, "education", i),
+        _text(o, "institution", "school", "college", "university").alias("institution"),
+        _text(o, "degree", "title").alias("degree"),
+        _text(o, "specialization", "field", "major").alias("specialization"),
+        _text(o, "location").alias("location"),
+        _text(o, "start_date", "start").alias("start_date"),
+        *_period(o, _flag(o, "is_current"), "end_date", "graduation_date", "year"),
+        _text(o, "score", "gpa", "cgpa").alias("score"),
+        _text(o, "score_type", "grade_scale").alias("score_type"),
+        _text(o, "summary", "description").alias("summary"),
+        _strings(o, "details").alias("details"),
+        _facts(o),
     )
 
 
-def _project(v: Column, i: Column) -> Column:
+def _project(o: Column, v: Column, i: Column) -> Column:
     return F.struct(
-        _ident(v, "project", i),
-        _text(v, "title", "name").alias("title"),
-        _text(v, "organization", "company").alias("organization"),
-        _text(v, "url", "link").alias("url"),
-        _text(v, "location").alias("location"),
-        _text(v, "start_date", "start").alias("start_date"),
-        *_period(v, _flag(v, "is_current"), "end_date"),
-        _text(v, "summary", "description").alias("summary"),
-        _strings(v, "bullets", "details").alias("bullets"),
+        _ident(o, "project", i),
+        _text(o, "title", "name").alias("title"),
+        _text(o, "organization", "company").alias("organization"),
+        _text(o, "url", "link").alias("url"),
+        _text(o, "location").alias("location"),
+        _text(o, "start_date", "start").alias("start_date"),
+        *_period(o, _flag(o, "is_current"), "end_date"),
+        _text(o, "summary", "description").alias("summary"),
+        _strings(o, "bullets", "details").alias("bullets"),
         _named(v, "technologies", "tech", "skills").alias("technologies"),
-        _facts(v),
+        _facts(o),
     )
 
 
-def _certification(v: Column, i: Column) -> Column:
+def _certification(o: Column, v: Column, i: Column) -> Column:
     return F.struct(
-        _ident(v, "certification", i),
-        _text(v, "title", "name").alias("title"),
-        _text(v, "issuer", "organization", "authority").alias("issuer"),
-        _text(v, "date", "issued_date", "start_date").alias("date"),
-        _text(v, "expiry_date", "end_date").alias("expiry_date"),
-        _text(v, "credential_id", "credentialId").alias("credential_id"),
-        _text(v, "url", "link").alias("url"),
-        _text(v, "summary", "description").alias("summary"),
-        _facts(v),
+        _ident(o, "certification", i),
+        _text(o, "title", "name").alias("title"),
+        _text(o, "issuer", "organization", "authority").alias("issuer"),
+        _text(o, "date", "issued_date", "start_date").alias("date"),
+        _text(o, "expiry_date", "end_date").alias("expiry_date"),
+        _text(o, "credential_id", "credentialId").alias("credential_id"),
+        _text(o, "url", "link").alias("url"),
+        _text(o, "summary", "description").alias("summary"),
+        _facts(o),
     )
 
 
-def _award(v: Column, i: Column) -> Column:
+def _award(o: Column, v: Column, i: Column) -> Column:
     return F.struct(
-        _ident(v, "award", i),
-        _text(v, "title", "name").alias("title"),
-        _text(v, "issuer", "organization").alias("issuer"),
-        _text(v, "date", "year").alias("date"),
-        _text(v, "summary", "description").alias("summary"),
-        _facts(v),
+        _ident(o, "award", i),
+        _text(o, "title", "name").alias("title"),
+        _text(o, "issuer", "organization").alias("issuer"),
+        _text(o, "date", "year").alias("date"),
+        _text(o, "summary", "description").alias("summary"),
+        _facts(o),
     )
 
 
@@ -219,19 +243,29 @@ def canonical(v: Column) -> Column:
     Known alias keys are read, missing parts become empty, an end of
     "Present" turns into a current entry, and a given schema version is kept.
     """
-    contact, personal = _node(v, "contact"), _node(v, "personal")
-    links = _strings(v, "links")
-    contact_links = F.when(
-        F.size(_strings(contact, "links")) > 0, _strings(contact, "links")
-    ).otherwise(links)
+    return let(
+        _read_canonical(v),
+        lambda o: let(
+            _read_canonical(F.try_variant_get(v, "$.contact", "variant")),
+            lambda contact: let(
+                _read_canonical(F.try_variant_get(v, "$.personal", "variant")),
+                lambda personal: _canonical(v, o, contact, personal),
+            ),
+        ),
+    )
+
+
+def _canonical(v: Column, o: Column, contact: Column, personal: Column) -> Column:
+    links, card = _strings(o, "links"), _strings(contact, "links")
+    contact_links = F.when(F.size(card) > 0, card).otherwise(links)
     fields = {
-        "schema_version": F.coalesce(_text(v, "schema_version"), F.lit(vocab.SCHEMA_VERSION)),
+        "schema_version": F.coalesce(_text(o, "schema_version"), F.lit(vocab.SCHEMA_VERSION)),
         "contact": _struct(
             {k: _text(contact, k) for k in ("name", "email", "phone", "location")}
             | {"links": contact_links}
         ),
-        "headline": F.coalesce(_text(v, "headline"), _text(personal, "job_title")),
-        "summary": _text(v, "summary"),
+        "headline": F.coalesce(_text(o, "headline"), _text(personal, "job_title")),
+        "summary": _text(o, "summary"),
         "experience": _list(_objects(v, "experience", _experience), schemas.EXPERIENCE),
         "education": _list(_objects(v, "education", _education), schemas.EDUCATION),
         "skills": _named(v, "skills"),
@@ -244,7 +278,7 @@ def canonical(v: Column) -> Column:
         "hobbies": _named(v, "hobbies"),
         "personal": _struct(
             {
-                "job_title": F.coalesce(_text(personal, "job_title"), _text(v, "headline")),
+                "job_title": F.coalesce(_text(personal, "job_title"), _text(o, "headline")),
                 "work_authorization": _text(personal, "work_authorization"),
                 "notes": _text(personal, "notes"),
             }
@@ -303,7 +337,7 @@ def _few_words(limit: int) -> Callable[[Column], Column]:
     return lambda s: word_count(s).between(1, limit)
 
 
-def _repaired_skills(v: Column, languages: Column) -> Column:
+def _repaired_skills(v: Column, o: Column, languages: Column) -> Column:
     groups = F.try_variant_get(_node(v, "skill_groups"), "$", "map<string,variant>")
     grouped = F.flatten(
         F.transform(
@@ -315,7 +349,7 @@ def _repaired_skills(v: Column, languages: Column) -> Column:
         )
     )
     listed = F.concat(
-        _strings(v, "skills", separators=r"[,;\n]"), F.coalesce(grouped, str_array([]))
+        _strings(o, "skills"), F.coalesce(grouped, str_array([]))
     )
     kept = F.filter(listed, lambda s: _few_words(5)(s) & ~s.rlike(_ONLY_LEAK))
     moved = F.filter(languages, lambda s: s.rlike(_PROGRAMMING))
@@ -332,20 +366,20 @@ def _repaired_languages(languages: Column) -> Column:
 
 
 def _repaired_experience(v: Column) -> Column:
-    def build(x: Column, i: Column) -> Column:
+    def build(o: Column, x: Column, i: Column) -> Column:
         return F.struct(
-            _ident(x, "experience", i),
-            _word(x, "company").alias("company"),
-            _word(x, "job_title", "title").alias("title"),
-            _word(x, "location").alias("location"),
-            _word(x, "start_date").alias("start_date"),
-            *_period(x, _flag(x, "currently_working", "is_current"), "end_date"),
-            _word(x, "summary").alias("summary"),
+            _ident(o, "experience", i),
+            _text(o, "company").alias("company"),
+            _text(o, "job_title", "title").alias("title"),
+            _text(o, "location").alias("location"),
+            _text(o, "start_date").alias("start_date"),
+            *_period(o, _flag(o, "currently_working", "is_current"), "end_date"),
+            _text(o, "summary").alias("summary"),
             F.filter(
-                _strings(x, "achievements", "bullets", separators=r"[,;\n]"),
+                _strings(o, "achievements", "bullets"),
                 lambda a: ~a.rlike(_ONLY_LEAK),
             ).alias("bullets"),
-            _facts(x),
+            _facts(o),
         )
 
     def keep(e: Column) -> Column:
@@ -355,43 +389,43 @@ def _repaired_experience(v: Column) -> Column:
             leaked = leaked | company.rlike(pattern)
         return ((title != "") | (company != "")) & ~leaked
 
-    rows = F.filter(_objects(v, "experience", build), keep)
+    rows = F.filter(_objects(v, "experience", build, _read_extracted), keep)
     return _first_of_each(rows, "title", "company", "start_date")
 
 
 def _repaired_projects(v: Column) -> Column:
-    def build(x: Column, i: Column) -> Column:
-        title = _word(x, "title", "name")
+    def build(o: Column, x: Column, i: Column) -> Column:
+        title = _text(o, "title", "name")
         dated = F.coalesce(title.rlike(_TITLE_DATES), F.lit(False))
         title_end = F.regexp_extract(title, _TITLE_DATES, 2)
-        end = _word(x, "end_date")
-        now = _flag(x, "currently_working", "is_current") | (dated & is_present(title_end))
+        end = _text(o, "end_date")
+        now = _flag(o, "currently_working", "is_current") | (dated & is_present(title_end))
         now = now | F.coalesce(is_present(end), F.lit(False))
         bare = F.regexp_replace(
             F.regexp_replace(title, _TITLE_DATES, ""), r"^[ |·•\-–—]+|[ |·•\-–—]+$", ""
         )
         return F.struct(
-            _ident(x, "project", i),
+            _ident(o, "project", i),
             F.when(dated, bare).otherwise(title).alias("title"),
-            _word(x, "organization", "company").alias("organization"),
-            _word(x, "url", "link").alias("url"),
-            _word(x, "location").alias("location"),
+            _text(o, "organization", "company").alias("organization"),
+            _text(o, "url", "link").alias("url"),
+            _text(o, "location").alias("location"),
             F.coalesce(
-                _word(x, "start_date"), F.when(dated, F.regexp_extract(title, _TITLE_DATES, 1))
+                _text(o, "start_date"), F.when(dated, F.regexp_extract(title, _TITLE_DATES, 1))
             ).alias("start_date"),
             F.when(~now, F.coalesce(end, F.when(dated, title_end))).alias("end_date"),
             now.alias("is_current"),
-            _word(x, "summary").alias("summary"),
-            _strings(x, "highlights", "bullets", separators=r"[,;\n]").alias("bullets"),
-            F.filter(_strings(x, "technologies", separators=r"[,;\n]"), _few_words(5)).alias(
+            _text(o, "summary").alias("summary"),
+            _strings(o, "highlights", "bullets").alias("bullets"),
+            F.filter(_strings(o, "technologies"), _few_words(5)).alias(
                 "technologies"
             ),
-            _facts(x),
+            _facts(o),
         )
 
     headings = r"(?i)^(education|certification|skills|awards|experience)"
     rows = F.filter(
-        _objects(v, "projects", build),
+        _objects(v, "projects", build, _read_extracted),
         lambda p: p["title"].isNotNull()
         & ~p["title"].rlike(headings)
         & ~p["title"].rlike(_BULLET_MARK)
@@ -401,29 +435,29 @@ def _repaired_projects(v: Column) -> Column:
 
 
 def _repaired_education(v: Column) -> Column:
-    def build(x: Column, i: Column) -> Column:
+    def build(o: Column, x: Column, i: Column) -> Column:
         kind = (
-            F.when(_word(x, "cgpa").isNotNull(), "cgpa")
-            .when(_word(x, "gpa").isNotNull(), "gpa")
-            .when(_word(x, "grade").isNotNull(), "other")
+            F.when(_text(o, "cgpa").isNotNull(), "cgpa")
+            .when(_text(o, "gpa").isNotNull(), "gpa")
+            .when(_text(o, "grade").isNotNull(), "other")
         )
         return F.struct(
-            _ident(x, "education", i),
-            _word(x, "institution", "school").alias("institution"),
-            _word(x, "degree").alias("degree"),
-            _word(x, "specialization", "major").alias("specialization"),
-            _word(x, "location").alias("location"),
-            _word(x, "start_date").alias("start_date"),
-            *_period(x, _flag(x, "currently_studying", "is_current"), "end_date"),
-            _word(x, "cgpa", "gpa", "grade", "score").alias("score"),
+            _ident(o, "education", i),
+            _text(o, "institution", "school").alias("institution"),
+            _text(o, "degree").alias("degree"),
+            _text(o, "specialization", "major").alias("specialization"),
+            _text(o, "location").alias("location"),
+            _text(o, "start_date").alias("start_date"),
+            *_period(o, _flag(o, "currently_studying", "is_current"), "end_date"),
+            _text(o, "cgpa", "gpa", "grade", "score").alias("score"),
             kind.alias("score_type"),
-            _word(x, "summary").alias("summary"),
+            _text(o, "summary").alias("summary"),
             str_array([]).alias("details"),
-            _facts(x),
+            _facts(o),
         )
 
     rows = F.filter(
-        _objects(v, "education", build),
+        _objects(v, "education", build, _read_extracted),
         lambda e: (e["institution"].isNotNull() | e["degree"].isNotNull())
         & ~F.coalesce(e["institution"].rlike(_BULLET_MARK), F.lit(False)),
     )
@@ -431,38 +465,38 @@ def _repaired_education(v: Column) -> Column:
 
 
 def _repaired_certifications(v: Column) -> Column:
-    def build(x: Column, i: Column) -> Column:
+    def build(o: Column, x: Column, i: Column) -> Column:
         return F.struct(
-            _ident(x, "certification", i),
-            _word(x, "name", "title").alias("title"),
-            _word(x, "issuer").alias("issuer"),
-            _word(x, "issue_date", "date").alias("date"),
-            _word(x, "expiry_date").alias("expiry_date"),
-            _word(x, "credential_id").alias("credential_id"),
-            _word(x, "credential_url", "url").alias("url"),
-            _word(x, "summary").alias("summary"),
-            _facts(x),
+            _ident(o, "certification", i),
+            _text(o, "name", "title").alias("title"),
+            _text(o, "issuer").alias("issuer"),
+            _text(o, "issue_date", "date").alias("date"),
+            _text(o, "expiry_date").alias("expiry_date"),
+            _text(o, "credential_id").alias("credential_id"),
+            _text(o, "credential_url", "url").alias("url"),
+            _text(o, "summary").alias("summary"),
+            _facts(o),
         )
 
     rows = F.filter(
-        _objects(v, "certifications", build),
+        _objects(v, "certifications", build, _read_extracted),
         lambda c: c["title"].isNotNull() & ~c["title"].rlike(r"(?i)^(project|education|skills)"),
     )
     return _first_of_each(rows, "title", "issuer", "date")
 
 
 def _repaired_awards(v: Column) -> Column:
-    def build(x: Column, i: Column) -> Column:
+    def build(o: Column, x: Column, i: Column) -> Column:
         return F.struct(
-            _ident(x, "award", i),
-            _word(x, "title", "name").alias("title"),
-            _word(x, "issuer").alias("issuer"),
-            _word(x, "date").alias("date"),
-            _word(x, "summary").alias("summary"),
-            _facts(x),
+            _ident(o, "award", i),
+            _text(o, "title", "name").alias("title"),
+            _text(o, "issuer").alias("issuer"),
+            _text(o, "date").alias("date"),
+            _text(o, "summary").alias("summary"),
+            _facts(o),
         )
 
-    rows = F.filter(_objects(v, "awards", build), lambda a: a["title"].isNotNull())
+    rows = F.filter(_objects(v, "awards", build, _read_extracted), lambda a: a["title"].isNotNull())
     return _first_of_each(rows, "title", "issuer", "date")
 
 
@@ -493,28 +527,32 @@ def repaired_location(location: Column, skills: Column) -> Column:
 
 def repair(v: Column) -> Column:
     """Extractor payload to canonical content: unwrap, reject leaks, dedupe, map."""
-    languages = _strings(v, "languages", separators=r"[,;\n]")
-    skills = _repaired_skills(v, languages)
+    return let(v, lambda x: let(_read_extracted(x), lambda o: _repaired(x, o)))
+
+
+def _repaired(v: Column, o: Column) -> Column:
+    languages = _strings(o, "languages")
+    skills = _repaired_skills(v, o, languages)
     links = F.array_distinct(
         F.array_compact(
-            F.array(*[_word(v, k) for k in ("linkedin", "github", "portfolio", "website")])
+            F.array(*[_text(o, k) for k in ("linkedin", "github", "portfolio", "website")])
         )
     )
     null = F.lit(None).cast("string")
-    headline = _word(v, "headline")
+    headline = _text(o, "headline")
     fields = {
         "schema_version": F.lit(vocab.SCHEMA_VERSION),
         "contact": _struct(
             {
-                "name": _word(v, "full_name", "name"),
-                "email": _word(v, "email"),
-                "phone": _word(v, "phone"),
-                "location": repaired_location(_word(v, "location"), skills),
+                "name": _text(o, "full_name", "name"),
+                "email": _text(o, "email"),
+                "phone": _text(o, "phone"),
+                "location": repaired_location(_text(o, "location"), skills),
                 "links": links,
             }
         ),
         "headline": headline,
-        "summary": repaired_summary(_word(v, "summary")),
+        "summary": repaired_summary(_text(o, "summary")),
         "experience": _list(_repaired_experience(v), schemas.EXPERIENCE),
         "education": _list(_repaired_education(v), schemas.EDUCATION),
         "skills": skills,
