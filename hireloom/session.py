@@ -16,6 +16,8 @@ def build_session(app: str = "hireloom", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Text work is heavy per byte, so small shuffles keep more tasks than by default.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
     )
     if master:
         builder = builder.master(master)
