@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hireloom.operators.ordered import top_k
+from hireloom.operators.ordered import neighbour, top_k
 
 
 def active_users(events: DataFrame, unit: str = "week") -> DataFrame:
@@ -32,6 +32,44 @@ def retention(events: DataFrame, unit: str = "week", days: int = 7) -> DataFrame
     )
 
 
+def user_sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
+    """Activity sessions per user, for batch tables with very active users.
+
+    Sessions are first built per user and day; the pieces, few per day, are
+    then joined along the user where a session runs over midnight.
+    """
+    gap = gap_minutes * 60 * 1000000
+    order = ["ts", "event_id"]
+    linked = neighbour(events, ["user_id"], order, F.col("ts"), "_before", F.to_date("ts"))
+    opens = F.coalesce(
+        (F.unix_micros("ts") - F.unix_micros("_before") >= gap).cast("int"), F.lit(1)
+    )
+    inside = Window.partitionBy("user_id", "_day").orderBy(*order)
+    pieces = (
+        linked.withColumn("_day", F.to_date("ts"))
+        .withColumn("_opens", opens)
+        .withColumn("_piece", F.sum("_opens").over(inside))
+        .groupBy("user_id", "_day", "_piece")
+        .agg(
+            F.min("ts").alias("start"),
+            F.max("ts").alias("last"),
+            F.count("*").alias("n"),
+            F.max("_opens").alias("_opens"),
+        )
+    )
+    along = Window.partitionBy("user_id").orderBy("start", "_piece")
+    return (
+        pieces.withColumn("_session", F.sum("_opens").over(along))
+        .groupBy("user_id", "_session")
+        .agg(
+            F.min("start").alias("start"),
+            (F.max("last") + F.expr(f"INTERVAL {gap_minutes} MINUTES")).alias("end"),
+            F.sum("n").alias("n"),
+        )
+        .drop("_session")
+    )
+
+
 def run_metrics(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Completion, duration, tokens and retries of workflow runs, tasks or agents."""
     return runs.groupBy(*keys).agg(
