@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hireloom.llm.near_dedup import near_dedup
 from hireloom.llm.substring_dedup import substring_dedup
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +55,24 @@ FROM w LEFT JOIN lost USING (doc_id)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP2_SQL = rf"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE
+        list_distinct([ws[j] || ' ' || ws[j + 1] FOR j IN range(1, len(ws))]) END AS sh FROM w),
+e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM inter JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+         WHERE 100 * n >= 80 * (len(x.sh) + len(y.sh) - n)),
+reach AS (WITH RECURSIVE r(node, place) AS (SELECT doc_id, doc_id FROM s UNION
+            SELECT r.node, l.b FROM r JOIN (SELECT a, b FROM link UNION ALL SELECT b, a FROM link) l ON l.a = r.place)
+          SELECT node, min(place) AS c FROM r GROUP BY node)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept FROM s JOIN reach ON node = doc_id
+"""
+
+
+@query("op2_minhash_near_dedup", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), shingle=2)
