@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hireloom.llm.near_dedup import near_dedup
+from hireloom.llm.packing import packed
+from hireloom.llm.secrets import BASE_KINDS, secret_scan
 from hireloom.llm.substring_dedup import substring_dedup
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +79,23 @@ SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id, doc_id
 @query("op2_minhash_near_dedup", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), shingle=2)
+
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+@query("op9_best_fit_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def _joined(spans: str, *kinds: str) -> F.Column:
+    chosen = F.filter(spans, lambda s: s["kind"].isin(*kinds)) if kinds else F.col(spans)
+    return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined("spans", *BASE_KINDS), 256).alias("base_sha256"), _joined("spans").alias("spans"))
