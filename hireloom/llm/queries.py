@@ -13,6 +13,7 @@ from hireloom.llm.near_dedup import near_dedup
 from hireloom.llm.packing import packed
 from hireloom.llm.secrets import BASE_KINDS, secret_scan
 from hireloom.llm.substring_dedup import substring_dedup
+from hireloom.llm.toxicity import toxicity
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -99,3 +100,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined("spans", *BASE_KINDS), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
