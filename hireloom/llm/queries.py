@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from hireloom.llm.near_dedup import near_dedup
 from hireloom.llm.packing import packed
 from hireloom.llm.secrets import BASE_KINDS, secret_scan
+from hireloom.llm.shared import new_folder
 from hireloom.llm.substring_dedup import substring_dedup
 from hireloom.llm.toxicity import toxicity
+from hireloom.llm.warc import read_pages, write_archives
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -105,3 +107,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
+
+
+@query("op5_warc", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    index = write_archives(table(spark, sf_dir, "pages"), folder)
+    return read_pages(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
