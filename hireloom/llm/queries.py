@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hireloom.llm.cover_tree import exact_top_k
 from hireloom.llm.near_dedup import near_dedup
+from hireloom.llm.nn_descent import nearest
 from hireloom.llm.packing import packed
 from hireloom.llm.secrets import BASE_KINDS, secret_scan
 from hireloom.llm.shared import new_folder
@@ -141,3 +142,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 @query("op6_cover_tree_topk", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op8_nn_descent")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
