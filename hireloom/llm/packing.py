@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from hireloom.llm.id_cache import IdCache
+
 
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MARKS = b".,;:!?"
@@ -33,8 +35,8 @@ def _byte_characters() -> dict[int, str]:
     return dict(zip(plain, map(chr, plain), strict=True)) | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class WordCache(dict):
-    """From a word to its place in one growing array of ids.
+class WordCache(IdCache):
+    """The ids of words under one tokenizer.
 
     Encodes each new word once. Words are split at ASCII white space, which the
     tokenizer drops, so the ids of a text are those of its words in order. A
@@ -42,11 +44,9 @@ class WordCache(dict):
     and splitter, where a test of both ways at the start shows no difference.
     """
 
-    def __init__(self, tokenizer: Tokenizer, limit: int = 1_000_000):
+    def __init__(self, tokenizer: Tokenizer):
         super().__init__()
-        self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
-        self.ids, self.used = np.empty(1 << 20, np.int32), 0
-        self.at, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.tokenizer, self.model = tokenizer, tokenizer.model
         trial = ["Abc", "tokens", "straße", "ÉLÈVE", "a", "ñandú"]
         self.direct = all(self._letters(w) == self._plain(w) and self._plain(f"{w}.") == self._plain(w) + self._plain(".") for w in trial)
 
@@ -65,33 +65,16 @@ class WordCache(dict):
             if _LETTERS.fullmatch(text):
                 return self._letters(text)
             if word[-1] in _MARKS and _LETTERS.fullmatch(text, 0, len(text) - 1):
-                k, m = self[word[:-1]], self[word[-1:]]
-                return [*self.ids[self.at[k] : self.at[k] + self.size[k]], *self.ids[self.at[m] : self.at[m] + self.size[m]]]
+                return self.of(self[word[:-1]]) + self.of(self[word[-1:]])
         return self._plain(text)
 
     def __missing__(self, word: bytes) -> int:
-        found = self._new(word)
-        k = len(self)
-        if k == len(self.at):
-            self.at, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.size))
-        while self.used + len(found) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        self.at[k], self.size[k] = self.used, len(found)
-        self.ids[self.used : self.used + len(found)] = found
-        self.used += len(found)
-        self[word] = k
-        return k
+        return self.add(word, self._new(word))
 
     def encode(self, text: bytes) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
-            self.used = 0
+        self.trim()
         words = text.split()
-        which = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        size = self.size[which]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(self.at[which] - ends + size, size) + np.arange(total)]
+        return self.joined(words, len(words))
 
 
 @lru_cache(maxsize=2)

@@ -13,6 +13,7 @@ from hireloom.llm.cover_tree import exact_top_k
 from hireloom.llm.near_dedup import near_dedup
 from hireloom.llm.nn_descent import nearest
 from hireloom.llm.packing import packed
+from hireloom.llm.piece_tokenizer import encode_pieces
 from hireloom.llm.secrets import BASE_KINDS, secret_scan
 from hireloom.llm.shared import new_folder
 from hireloom.llm.substring_dedup import substring_dedup
@@ -147,3 +148,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_nn_descent")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+@query("op3_piece_tokenizer")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), verify=True, digest=True)
