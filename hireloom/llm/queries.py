@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hireloom.llm.cover_tree import exact_top_k
+from hireloom.llm.licences import LICENCES, NOTICES, canonical_sql, licence_scan
 from hireloom.llm.near_dedup import near_dedup
 from hireloom.llm.nn_descent import nearest
 from hireloom.llm.packing import packed
@@ -156,3 +157,24 @@ PIECE_MODEL = "piece_bpe_32k.model"
 @query("op3_piece_tokenizer")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), verify=True, digest=True)
+
+
+def _values(known: list[tuple[str, str]]) -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    return ", ".join(f"({quote(a)}, {quote(b)})" for a, b in known)
+
+
+OP7_SQL = f"""
+WITH known AS (SELECT sha256({canonical_sql("t")}) AS digest, min(n) AS licence_id FROM (VALUES {_values(LICENCES)}) v(n, t) GROUP BY 1),
+notice AS (SELECT sha256({canonical_sql("t")}) AS digest, min(n) AS name FROM (VALUES {_values(NOTICES)}) v(n, t) GROUP BY 1),
+d AS (SELECT doc_id, sha256({canonical_sql("coalesce(text, '')")}) AS digest FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+n AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices
+      FROM (SELECT doc_id, sha256({canonical_sql("line")}) AS digest FROM l) JOIN notice USING (digest) GROUP BY doc_id)
+SELECT doc_id, digest, licence_id, coalesce(notices, '') AS notices FROM d LEFT JOIN known USING (digest) LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op7_licence_scan", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(table(spark, sf_dir, "documents")).withColumn("notices", F.array_join("notices", ","))
