@@ -156,16 +156,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 def _rest_pairs(sets: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
     """Pairs of different components among ``members(id, component)`` that may reach the threshold."""
+
     @F.pandas_udf("array<long>")
     def unpacked(items: pd.Series) -> pd.Series:
         return items.map(lambda x: np.frombuffer(x, np.int64))
 
-    items = sets.join(members, "id").select("id", "component", F.explode(unpacked("items")).alias("item"))
+    # Rows of one id with different texts are different sets.
+    items = sets.join(members, "id").select("id", "component", F.xxhash64("items").alias("part"), F.explode(unpacked("items")).alias("item"))
     often = items.groupBy("item").agg(F.count("*").alias("often"))
     # Rarest first, each set alone; sets are bounded by the words of one document.
     ranked = (
         items.join(often, "item")
-        .groupBy("id", "component")
+        .groupBy("id", "part", "component")
         .agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("s"))
         .select("id", "component", F.size("s").alias("n"), F.posexplode("s").alias("at", "x"))
         .where(F.col("x.often") > 1)

@@ -109,7 +109,7 @@ def find_spans(text: bytes) -> list[tuple[int, int, str]]:
 
 def _points(text: bytes, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Byte places as places of code points."""
-    if text.isascii() or not spans:
+    if not spans or text.isascii():
         return spans
     at, points, place = 0, 0, {}
     for x in sorted({x for s in spans for x in s[:2]}):
