@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from hireloom.llm.shared import new_folder, remove, written
 
 _LISTS = "id long, ids binary, sims binary"
+_OFFERS = "bucket int, owners binary, ids binary, sims binary"
+_PRIME = 2_147_483_647
 _LOWEST = np.float32(-np.inf)
 
 
@@ -70,8 +72,23 @@ def _list_table(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> pa.Tabl
 
 
 def _bucket_of(column: str, buckets: int) -> F.Column:
-    """Nodes are dealt to tasks by a hash of their id."""
-    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
+    """Nodes are dealt to tasks by a hash of their id, here and in ``_buckets`` the same."""
+    return F.pmod(F.pmod(F.pmod(F.col(column), F.lit(_PRIME)) * 40_503, F.lit(_PRIME)), F.lit(buckets)).cast("int")
+
+
+def _buckets(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return ids % _PRIME * 40_503 % _PRIME % buckets
+
+
+def _offer_table(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray, buckets: int) -> pa.Table:
+    """Candidates of many nodes, packed to one row for each task that holds some of these nodes."""
+    place = _buckets(owner, buckets)
+    order = np.argsort(place, kind="stable")
+    place, owner, ids, sims = place[order], owner[order], ids[order].astype(np.int64), sims[order].astype(np.float32)
+    start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.empty(0, np.int64)
+    cuts = [*zip(start, np.append(start, len(place))[1:], strict=True)]
+    packed = lambda x: pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary())
+    return pa.table({"bucket": pa.array(place[start], pa.int32()), "owners": packed(owner), "ids": packed(ids), "sims": packed(sims)})
 
 
 class Trees:
@@ -135,7 +152,7 @@ def _coded(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", "v").mapInArrow(code, "id long, code binary")
 
 
-def _first_lists(nodes: DataFrame, trees: Trees, block: int, k: int) -> DataFrame:
+def _first_offers(nodes: DataFrame, trees: Trees, block: int, k: int, buckets: int) -> DataFrame:
     def place(batches):
         for batch in batches:
             found = trees.leaves(_codes(pa.chunked_array([batch.column("code")])))
@@ -151,7 +168,7 @@ def _first_lists(nodes: DataFrame, trees: Trees, block: int, k: int) -> DataFram
         ids, x = table["id"].to_numpy(), _codes(table["code"])
         keep = min(k, len(ids) - 1)
         if keep < 1:
-            return _list_table(*[np.empty(0, np.int64)] * 3)
+            return _offer_table(*[np.empty(0, np.int64)] * 3, buckets)
         owners, others, sims = [], [], []
         for at in range(0, len(ids), 512):
             s = x[at : at + 512] @ x.T
@@ -161,20 +178,22 @@ def _first_lists(nodes: DataFrame, trees: Trees, block: int, k: int) -> DataFram
             owners.append(np.repeat(ids[at + rows], keep))
             others.append(ids[top].ravel())
             sims.append(np.take_along_axis(s, top, 1).ravel())
-        return _list_table(*_best_lists(*map(np.concatenate, (owners, others, sims)), k))
+        return _offer_table(*map(np.concatenate, (owners, others, sims)), buckets)
 
-    return dealt.select("tree", "leaf", "part", "id", "code").groupBy("tree", "leaf", "part").applyInArrow(compare, _LISTS)
+    return dealt.select("tree", "leaf", "part", "id", "code").groupBy("tree", "leaf", "part").applyInArrow(compare, _OFFERS)
 
 
-def _merged(lists: DataFrame, k: int, buckets: int) -> DataFrame:
-    """One list per node, the k best of all its lists; the lists of some thousand nodes meet in one task."""
+def _offered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(_flat(table[n], kind)[0] for n, kind in (("owners", np.int64), ("ids", np.int64), ("sims", np.float32)))
+
+
+def _merged(offers: DataFrame, k: int) -> DataFrame:
+    """One list per node, the k best of all its offers; some thousand nodes meet in one task."""
 
     def merge(table: pa.Table) -> pa.Table:
-        ids, row = _flat(table["ids"], np.int64)
-        sims, _ = _flat(table["sims"], np.float32)
-        return _list_table(*_best_lists(table["id"].to_numpy()[row], ids, sims, k))
+        return _list_table(*_best_lists(*_offered(table), k))
 
-    return lists.withColumn("bucket", _bucket_of("id", buckets)).groupBy("bucket").applyInArrow(merge, _LISTS)
+    return offers.groupBy("bucket").applyInArrow(merge, _LISTS)
 
 
 _EDGES = "id long, other long, sim float, at int"
@@ -247,11 +266,17 @@ def _round(lists: DataFrame, nodes: DataFrame, k: int, reverse: int, offers: int
             others.append(other[to[good]])
             sims.append(found[good])
         if not owners:
-            return _list_table(*[np.empty(0, np.int64)] * 3)
-        return _list_table(*_best_lists(*map(np.concatenate, (owners, others, sims)), k))
+            return _offer_table(*[np.empty(0, np.int64)] * 3, buckets)
+        return _offer_table(*_best_lists(*map(np.concatenate, (owners, others, sims)), k), buckets)
+
+    offered = met.select("bucket", "id", "other", "code", "bar").groupBy("bucket").applyInArrow(local, _OFFERS)
+
+    def improve(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, row = _flat(left["ids"], np.int64)
+        own = left["id"].to_numpy()[row], ids, _flat(left["sims"], np.float32)[0]
+        return _list_table(*_best_lists(*map(np.concatenate, zip(own, _offered(right), strict=True)), k))
 
-    offered = met.select("bucket", "id", "other", "code", "bar").groupBy("bucket").applyInArrow(local, _LISTS)
-    return _merged(lists.union(offered), k, buckets)
+    return lists.withColumn("bucket", _bucket_of("id", buckets)).groupBy("bucket").cogroup(offered.groupBy("bucket")).applyInArrow(improve, _LISTS)
 
 
 def _adjacency(lists: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
@@ -387,7 +412,7 @@ def nearest(
     nodes = written(_coded(classes.select(F.col("node").alias("id"), "v")), f"{folder}/nodes")
     sample = nodes.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("code").toArrow()
     planes = Trees(_codes(sample["code"]), max(4, block * min(sample_rows, n) // max(n, 1)), trees)
-    lists = written(_merged(_first_lists(nodes, planes, block, degree), degree, buckets), f"{folder}/lists0")
+    lists = written(_merged(_first_offers(nodes, planes, block, degree, buckets), degree), f"{folder}/lists0")
     for r in range(1, rounds + 1):
         lists = written(_round(lists, nodes, degree, reverse, offers, buckets), f"{folder}/lists{r}")
         remove(spark, f"{folder}/lists{r - 1}")
