@@ -41,20 +41,10 @@ def _page(name: bytes | None) -> int | None:
 
 
 def _uri(url: str) -> bytes:
-    """Control characters and spaces are escaped, so that a header stays one line."""
+    """Control characters and spaces are escaped, so that a header stays one line; the index keeps the URL as given."""
     return b"".join(b"%%%02X" % c if c <= 32 or c == 127 else bytes([c]) for c in url.encode())
 
 
-def _url(field: bytes) -> str:
-    out, at = b"", 0
-    while (i := field.find(b"%", at)) >= 0:
-        code = field[i + 1 : i + 3]
-        small = len(code) == 2 and all(c in b"0123456789ABCDEF" for c in code) and (int(code, 16) <= 32 or int(code, 16) == 127)
-        out += field[at:i] + (bytes([int(code, 16)]) if small else field[i : i + 1])
-        at = i + (3 if small else 1)
-    return (out + field[at:]).decode()
-
-
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One record: a revisit has the HTTP head alone, a response also the payload."""
     block = HTTP_HEAD % len(payload) + (payload if refers_to is None else b"")
@@ -77,7 +67,7 @@ def parse(raw: bytes) -> tuple:
     url = fields.get(b"WARC-Target-URI")
     return (
         _page(fields[b"WARC-Record-ID"]),
-        None if url is None else _url(url),
+        None if url is None else url.decode(),
         kind,
         _page(fields.get(b"WARC-Refers-To")),
         fields[b"WARC-Payload-Digest"].partition(b":")[2].decode(),
