@@ -17,14 +17,23 @@ def active_users(events: DataFrame, unit: str = "week") -> DataFrame:
     )
 
 
-def retention(events: DataFrame, unit: str = "week", days: int = 7) -> DataFrame:
+def _steps(unit: str, start: Column, end: Column) -> Column:
+    """Whole periods between two period starts."""
+    days = {"day": 1, "week": 7}
+    months = {"month": 1, "quarter": 3, "year": 12}
+    if unit in days:
+        return F.floor(F.date_diff(end, start) / days[unit])
+    return F.floor(F.months_between(end, start) / months[unit])
+
+
+def retention(events: DataFrame, unit: str = "week") -> DataFrame:
     """Users of each first period that are active again n periods later.
 
     Events shrink to one row per user and period before anything is joined.
     """
     active = events.select("user_id", F.date_trunc(unit, "ts").alias("period")).distinct()
     first = active.groupBy("user_id").agg(F.min("period").alias("cohort"))
-    step = F.floor(F.date_diff("period", "cohort") / days)
+    step = _steps(unit, F.col("cohort"), F.col("period"))
     return (
         active.join(first, "user_id")
         .groupBy(F.date_format("cohort", "yyyy-MM-dd").alias("cohort"), step.alias("step"))

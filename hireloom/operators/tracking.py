@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hireloom.operators.filters import not_cancelled
@@ -18,32 +18,49 @@ def default_key() -> Column:
     )
 
 
-def resolve(commands: DataFrame, applications: DataFrame) -> DataFrame:
+def resolve(commands: DataFrame, applications: DataFrame | None = None) -> DataFrame:
     """Give every command the key of the application it is about.
 
     An application with the command's key wins, cancelled or not; then an
     active one of the same profile and posting; then the command's own key.
+    Within the batch the same holds: the first upsert of a pair, in order of
+    time, makes the application that later new keys are about, until a delete
+    ends it. A pair's commands meet in one window; they are few.
     """
     own = F.coalesce("idempotency_key", default_key())
-    by_key = applications.select(
-        F.col("application_key").alias("own_key"), F.lit(True).alias("_known")
-    )
-    by_pair = (
-        applications.filter(not_cancelled())
-        .groupBy("profile_id", "posting_id")
-        .agg(F.min("application_key").alias("_active_key"))
-    )
+    found = commands.withColumn("own_key", own)
+    known, active = F.lit(False), F.lit(None).cast("string")
+    if applications is not None:
+        by_key = applications.select(
+            F.col("application_key").alias("own_key"), F.lit(True).alias("_known")
+        )
+        by_pair = (
+            applications.filter(not_cancelled())
+            .groupBy("profile_id", "posting_id")
+            .agg(F.min("application_key").alias("_active_key"))
+        )
+        found = found.join(by_key, "own_key", "left").join(
+            by_pair, ["profile_id", "posting_id"], "left"
+        )
+        known, active = F.coalesce("_known", F.lit(False)), F.col("_active_key")
+    pair = Window.partitionBy("profile_id", "posting_id")
+    before = pair.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    until = pair.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    life = Window.partitionBy("profile_id", "posting_id", "_life").orderBy(*ORDER)
+    whole = life.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ended = F.coalesce(F.sum((F.col("op") == "delete").cast("int")).over(before), F.lit(0))
+    opener = F.first(F.when(F.col("op") == "upsert", F.col("own_key")), True).over(whole)
     return (
-        commands.withColumn("own_key", own)
-        .join(by_key, "own_key", "left")
-        .join(by_pair, ["profile_id", "posting_id"], "left")
+        found.withColumn("_life", ended)
+        .withColumn("_owner", F.when(F.col("_life") == 0, F.coalesce(active, opener)).otherwise(opener))
+        .withColumn("_made", F.collect_set(F.when(F.col("op") == "upsert", F.col("_owner"))).over(until))
         .withColumn(
             "application_key",
-            F.when(F.col("_known"), F.col("own_key")).otherwise(
-                F.coalesce("_active_key", "own_key")
+            F.when(known | F.array_contains("_made", F.col("own_key")), F.col("own_key")).otherwise(
+                F.coalesce("_owner", "own_key")
             ),
         )
-        .drop("own_key", "_known", "_active_key")
+        .select(*commands.columns, "application_key")
     )
 
 

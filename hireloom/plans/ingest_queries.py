@@ -336,10 +336,10 @@ def merged_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("exact_duplicates", """WITH d AS (SELECT doc_id, source, text FROM documents)
-SELECT doc_id, min(doc_id) OVER (PARTITION BY source, k) AS canonical_id,
-  count(*) OVER (PARTITION BY source, k) AS copies
-FROM (SELECT *, coalesce(nullif(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ''),
-  'unknown') AS k FROM d)""")
+SELECT doc_id, min(doc_id) OVER (PARTITION BY source, k, alone) AS canonical_id,
+  count(*) OVER (PARTITION BY source, k, alone) AS copies
+FROM (SELECT *, CASE WHEN k = '' THEN doc_id END AS alone FROM (SELECT *,
+  coalesce(trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')), '') AS k FROM d))""")
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("posting_id"),

@@ -151,6 +151,15 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.retention(b.table(spark, sf_dir, "events"))
 
 
+@query("monthly_retention", """WITH a AS (
+  SELECT DISTINCT user_id, date_trunc('month', ts) AS p FROM events),
+f AS (SELECT user_id, min(p) AS c FROM a GROUP BY 1)
+SELECT strftime(c, '%Y-%m-%d') AS cohort, datediff('month', c, p) AS step, count(*) AS users
+FROM a JOIN f USING (user_id) GROUP BY 1, 2""")
+def monthly_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.retention(b.table(spark, sf_dir, "events"), "month")
+
+
 @query("run_metrics", """WITH r AS (
   SELECT event_type AS agent_name, value AS seconds, json_extract(props, '$.k')::INT AS k FROM events)
 SELECT agent_name, count(*) AS runs, round(avg((k % 10 <> 0)::INT), 4) AS completion_rate,

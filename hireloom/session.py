@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,19 +26,18 @@ def build_session(app: str = "hireloom", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local session, such as a test, gets a temporary folder of its own;
-    on a cluster a machine-local folder would vanish with its executor.
-    """
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which is shared too."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="hireloom-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if not configured:
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, through the file system that holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -94,7 +94,8 @@ def test_a_key_finds_a_cancelled_application_and_a_pair_an_active_one(spark):
         ],
     )
     got = {r.command_id: r.application_key for r in t.resolve(commands, apps).collect()}
-    assert got == {1: "k1", 2: "k2", 3: "track:1:5"}
+    # The first command revives k1, so the third finds an active application of its pair.
+    assert got == {1: "k1", 2: "k2", 3: "k1"}
 
 
 def test_neighbour_links_chunks(spark):
@@ -104,3 +105,37 @@ def test_neighbour_links_chunks(spark):
             rows, ["k"], ["n"], F.col("n"), "x", F.floor(F.col("n") / 10), following
         ).orderBy("n")
         assert [r.x for r in got.collect()] == want
+
+
+def test_a_version_written_again_replaces_itself(spark, tmp_path):
+    root = str(tmp_path / "versions")
+    i.write_version(spark.range(3), root, 1)
+    i.write_version(spark.range(3), root, 1)
+    assert i.read_current(spark, root).count() == 3
+    i.write_version(spark.range(5), root, 2)
+    assert i.read_current(spark, root).count() == 5
+
+
+def test_new_keys_of_one_pair_in_one_batch_share_an_application(spark):
+    rows = [
+        (1, "2024-01-01", "p", "j", "applied", "k1", "upsert"),
+        (2, "2024-01-02", "p", "j", "interview", "k2", "upsert"),
+        (3, "2024-01-03", "p", "j", "cancelled", "k1", "delete"),
+        (4, "2024-01-04", "p", "j", "applied", "k3", "upsert"),
+        (5, "2024-01-05", "p", "j", "rejected", "k4", "set_status"),
+        (6, "2024-01-06", "q", "j", "applied", None, "upsert"),
+    ]
+    commands = spark.createDataFrame(
+        rows, "command_id long, ts string, profile_id string, posting_id string, status string, idempotency_key string, op string"
+    ).withColumn("ts", F.col("ts").cast("timestamp"))
+    found = {r.command_id: r.application_key for r in t.resolve(commands).collect()}
+    assert found == {1: "k1", 2: "k1", 3: "k1", 4: "k3", 5: "k3", 6: "track:q:j"}
+
+
+def test_duplicates_in_every_script_and_without_titles(spark):
+    rows = [
+        (1, "Фирма А", "Инженер", None), (2, "Фирма Б", "Повар", None), (3, "фирма а", "инженер!", None),
+        (4, "公司", "工程师", None), (5, "x", "", None), (6, "x", "", None), (7, "x", None, None),
+    ]
+    frame = spark.createDataFrame(rows, "posting_id long, company_name string, title string, location string").withColumn("provider_rank", F.lit(0))
+    assert {r.posting_id: r.canonical_id for r in i.merge_duplicates(frame).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}
