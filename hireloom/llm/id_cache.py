@@ -10,7 +10,7 @@ import numpy as np
 class IdCache(dict):
     """From a word to its number; the ids of all words lie end to end in one growing array."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 500_000):
         super().__init__()
         self.limit = limit
         self.ids, self.used = np.empty(1 << 20, np.int32), 0

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hireloom.llm.graph import components
-from hireloom.llm.shared import new_folder, remove, written
+from hireloom.llm.shared import bounded_batches, new_folder, remove, written
 from hireloom.llm.words import mixed, window_hashes, word_hashes, words_of
 
 ROWS, BANDS = 6, 56
@@ -203,6 +203,7 @@ def near_dedup(
     written to the shared folder; the returned frame still reads two of them.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = new_folder(spark, "near")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = written(base.mapInArrow(_sketcher(shingle, rows, band_count), _SKETCH), f"{folder}/sketches")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hireloom.llm.id_cache import IdCache
+from hireloom.llm.shared import bounded_batches
 
 
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -182,6 +183,7 @@ def packed(
     rows. ``group_pieces`` is the number of pieces packed together: larger
     groups pad a little less.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     groups = max(1, base.count() // group_pieces)
     pieces = base.mapInArrow(_piece_maker(tokenizer_path, size, end_id), _PIECES)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
 from hireloom.llm.id_cache import IdCache
+from hireloom.llm.shared import bounded_batches
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -205,6 +206,8 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     ``batch_chars`` characters and at least one text.
     """
 
+    bounded_batches(docs.sparkSession)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         known = encoder(model_path)

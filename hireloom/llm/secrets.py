@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hireloom.llm.shared import bounded_batches
+
 # Kinds in the order in which they are listed, keywords in lower case, patterns and least lengths.
 BASE_KINDS = ("assign", "access", "hex")
 KEYWORDS = {
@@ -141,6 +143,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and repeated ids are allowed. An empty table gives no rows. Other
     columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     names = [f"c{i}" for i in range(len(carry))]
     base = docs.select(
         F.col(text_col).alias("text"), F.col(id_col).alias("id"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from contextlib import contextmanager
 
@@ -45,3 +46,15 @@ def scratch(spark: SparkSession, name: str):
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Send texts to Python in batches of at most ``most`` bytes, unless the session asks for smaller ones.
+
+    The default of 64 MB is held several times over by each task: as rows, as
+    Arrow data on both sides and as Python objects.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+    if size <= 0 or size > most:
+        spark.conf.set(key, str(most))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from hireloom.llm.shared import bounded_batches
 from hireloom.llm.words import row_windows, word_hashes, words_of
 
 _LAST = np.iinfo(np.int64).max
@@ -170,6 +171,7 @@ def substring_dedup(
     returned. An empty table gives no rows. Columns not named are ignored.
     ``chunk_bytes`` and ``bucket_windows`` size the work of a task.
     """
+    bounded_batches(docs.sparkSession)
     names = [f"c{i}" for i in range(len(carry))]
     base = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hireloom.llm.shared import new_folder, remove, written
+from hireloom.llm.shared import bounded_batches, new_folder, remove, written
 
 # What a character may stand for, and the marks that may be set between letters.
 LOOKALIKES = {
@@ -124,7 +124,7 @@ class _Features(dict):
         self.costs = costs
 
     def __missing__(self, word: bytes) -> list[int]:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = features(word.decode("utf-8", "replace"), self.costs)
         return found
@@ -154,7 +154,7 @@ class _Evidence(dict):
         self.model, self.costs = model, model.costs.tolist()
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 600_000:
+        if len(self) > 300_000:
             self.clear()
         found = features(word.decode("utf-8", "replace"), self.costs) if len(word) > 1 else None
         value = self[word] = -99.0 if found is None else float(self.model.evidence[found].max()) if found else -98.0
@@ -302,6 +302,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     labels do not. Where no label of either class is known, all scores are 0.
     An empty table gives no rows. Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     names = [f"c{i}" for i in range(len(carry))]
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
