@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hireloom import vocab
-from hireloom.functions.text import blank_to_null
+from hireloom.functions.text import blank_to_null, first_items
 
 EMAIL = f"(?i){vocab.EMAIL_PATTERN}"
 URL = f"(?i)(?:{vocab.URL_PATTERN})"
@@ -22,6 +22,6 @@ def phone(text: Column) -> Column:
     return F.trim(F.regexp_replace(found, r"(?U)\s+", " "))
 
 
-def links(text: Column) -> Column:
-    """The first ten distinct links, as a contact card shows them."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(URL), F.lit(0))), 1, 10)
+def links(text: Column, limit: int | None = None) -> Column:
+    """Distinct links in order."""
+    return first_items(F.array_distinct(F.regexp_extract_all(text, F.lit(URL), F.lit(0))), limit)

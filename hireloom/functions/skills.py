@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hireloom import vocab
-from hireloom.functions.text import clean_list, is_lower, let, skill_key, str_array, str_map, title_case
+from hireloom.functions.text import clean_list, first_items, is_lower, let, skill_key, str_array, str_map, title_case
 
 
 def _term_table() -> Column:
@@ -19,7 +19,7 @@ def _term_table() -> Column:
     return F.array(*rows)
 
 
-def inferred_skills(text: Column) -> Column:
+def inferred_skills(text: Column, limit: int | None = None) -> Column:
     """Dictionary terms found in the text, longest first.
 
     A term is skipped when a longer term that contains it is present too.
@@ -31,7 +31,7 @@ def inferred_skills(text: Column) -> Column:
             lambda t: body.contains(t["term"])
             & ~F.exists(t["covers"], lambda longer: body.contains(longer)),
         )
-        return F.slice(F.transform(present, lambda t: t["term"]), 1, vocab.MAX_INFERRED_SKILLS)
+        return first_items(F.transform(present, lambda t: t["term"]), limit)
 
     return let(F.lower(text), tag)
 

@@ -43,6 +43,11 @@ def blank_to_null(c: Column) -> Column:
     return F.get(F.filter(F.array(c), lambda x: x != ""), F.lit(0))
 
 
+def first_items(items: Column, limit: int | None) -> Column:
+    """The first items of a list; all of them without a limit."""
+    return items if limit is None else F.slice(items, 1, limit)
+
+
 def clean(c: Column) -> Column:
     return blank_to_null(strip(c))
 

@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hireloom.functions.text import let, str_array, strip
+from hireloom.functions.text import first_items, let, str_array, strip
 from hireloom.operators.sections import line_id, numbered
 
-MAX_IDS = 6
 SHORTEST = 4
 REVERSE_ABOVE = 24
 
 
-def line_ids(lines: Column, needles: Column) -> Column:
-    """First line ids that contain a needle, needle by needle.
+def line_ids(lines: Column, needles: Column, limit: int | None = None) -> Column:
+    """Line ids that contain a needle, needle by needle.
 
     A long needle also matches a line that it contains itself.
     """
@@ -33,7 +32,7 @@ def line_ids(lines: Column, needles: Column) -> Column:
             lambda x: line_id(x["no"]),
         )
 
-    return F.slice(F.array_distinct(F.flatten(F.transform(wanted, hits))), 1, MAX_IDS)
+    return first_items(F.array_distinct(F.flatten(F.transform(wanted, hits))), limit)
 
 
 def _lines(text: Column) -> Column:
@@ -60,15 +59,15 @@ def ground(docs: DataFrame, content: str = "content", text: str = "text") -> Dat
     """Attach line ids to every record; content and text sit in the same row."""
     body, lines = F.col(content), F.col("_lines")
 
-    def few(e: Column, n: int) -> Column:
-        return F.coalesce(F.slice(e["bullets"], 1, n), str_array([]))
+    def bullets(e: Column) -> Column:
+        return F.coalesce(e["bullets"], str_array([]))
 
     out = (
         body.withField(
             "experience",
             _grounded(
                 body["experience"], lines,
-                lambda e: F.concat(F.array(e["title"], e["company"]), few(e, 4)),
+                lambda e: F.concat(F.array(e["title"], e["company"]), bullets(e)),
             ),
         )
         .withField(
@@ -79,7 +78,7 @@ def ground(docs: DataFrame, content: str = "content", text: str = "text") -> Dat
             "projects",
             _grounded(
                 body["projects"], lines,
-                lambda e: F.concat(F.array(e["title"], e["organization"]), few(e, 3)),
+                lambda e: F.concat(F.array(e["title"], e["organization"]), bullets(e)),
             ),
         )
         .withField(

@@ -21,7 +21,6 @@ _HEADING = (
     + "|".join(sorted(_ALIASES, key=len, reverse=True))
     + r")\s*(?:[:\-–—]\s*|$)"
 )
-_LONGEST_HEADING = 120
 
 
 def normal_text(raw: Column) -> Column:
@@ -56,9 +55,7 @@ def section_name(line: Column) -> Column:
     """Section opened by a line, or null. A long sentence opens none."""
     alias = F.lower(F.regexp_extract(line, _HEADING, 1))
     sentence = line.endswith(".") & (word_count(line) > 6)
-    return F.when(
-        (F.length(line) <= _LONGEST_HEADING) & ~sentence, F.try_element_at(str_map(_ALIASES), alias)
-    )
+    return F.when(~sentence, F.try_element_at(str_map(_ALIASES), alias))
 
 
 def heading_rest(line: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hireloom import vocab
 from hireloom.functions.skills import title_skill
-from hireloom.functions.text import blank_to_null, clean_list, skill_key, str_array, strip, tokens
+from hireloom.functions.text import blank_to_null, clean_list, first_items, skill_key, str_array, strip, tokens
 
 LETTER_MODEL = "cover-letter-heuristic-v1"
 
@@ -38,11 +38,11 @@ def _keys(skills: Column) -> Column:
     return F.filter(F.transform(skills, skill_key), lambda k: k != "")
 
 
-def target_skills(wanted: Column, title: Column, description: Column) -> Column:
-    """Required skills, else the first twelve tokens of title and description."""
+def target_skills(wanted: Column, title: Column, description: Column, limit: int | None = None) -> Column:
+    """Required skills, else the tokens of title and description."""
     listed = _keys(F.coalesce(wanted, str_array([])))
     words = tokens(F.concat_ws("\n", title, F.coalesce(description, F.lit(""))))
-    fallback = F.slice(F.array_sort(F.filter(words, lambda t: F.length(t) >= 3)), 1, 12)
+    fallback = first_items(F.array_sort(F.filter(words, lambda t: F.length(t) >= 3)), limit)
     return F.when(F.size(listed) > 0, listed).otherwise(fallback)
 
 
@@ -59,8 +59,8 @@ def _with_gap(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _shown(skills: Column, n: int) -> Column:
-    return F.array_join(F.transform(F.slice(skills, 1, n), title_skill), ", ")
+def _shown(skills: Column, limit: int | None) -> Column:
+    return F.array_join(F.transform(first_items(skills, limit), title_skill), ", ")
 
 
 def _suggestion(
@@ -87,8 +87,11 @@ def _suggestion(
     )
 
 
-def suggest(pairs: DataFrame) -> DataFrame:
-    """Add ``suggestions`` to rows of content, title, description, wanted, company_name."""
+def suggest(pairs: DataFrame, shown_skills: int | None = None, title_words: int | None = None) -> DataFrame:
+    """Add ``suggestions`` to rows of content, title, description, wanted, company_name.
+
+    ``shown_skills`` and ``title_words`` shorten the sentences only.
+    """
     rows = _with_gap(pairs)
     title, missing = F.col("title"), F.col("missing_skills")
     company = blank_to_null(F.col("company_name"))
@@ -97,15 +100,15 @@ def suggest(pairs: DataFrame) -> DataFrame:
         F.regexp_extract_all(title, F.lit(r"[A-Za-z][A-Za-z+#.]{1,}"), F.lit(0)),
         lambda w: ~F.array_contains(stop, F.lower(w)),
     )
-    focus = F.coalesce(blank_to_null(F.array_join(F.slice(bits, 1, 4), " ")), title)
+    focus = F.coalesce(blank_to_null(F.array_join(first_items(bits, title_words), " ")), title)
     now_headline = F.coalesce("content.headline", F.lit(""))
     new_headline = F.regexp_replace(
         F.concat(focus, F.coalesce(F.concat(F.lit(" | "), company), F.lit(""))),
         r"^[ |]+|[ |]+$", "",
     )
     now_summary = strip(F.coalesce("content.summary", F.lit("")))
-    phrase = F.when(F.size(missing) > 0, _shown(missing, 5)).otherwise(
-        _shown(F.col("matched_skills"), 5)
+    phrase = F.when(F.size(missing) > 0, _shown(missing, shown_skills)).otherwise(
+        _shown(F.col("matched_skills"), shown_skills)
     )
     new_summary = F.concat(
         F.lit("Targeting "), title, F.lit(" at "), F.coalesce(company, F.lit("this company")),
@@ -116,11 +119,11 @@ def suggest(pairs: DataFrame) -> DataFrame:
     role = F.get(F.col("content.experience"), F.lit(0))
     bullets = F.filter(F.coalesce(role["bullets"], str_array([])), lambda x: x.isNotNull())
     bullet = F.concat(
-        F.lit("Applied "), _shown(missing, 3), F.lit(" to deliver outcomes relevant to "), title,
+        F.lit("Applied "), _shown(missing, shown_skills), F.lit(" to deliver outcomes relevant to "), title,
         F.lit("."),
     )
     alike = F.exists(
-        bullets, lambda x: skill_key(x).contains(skill_key(F.substring(F.col("_bullet"), 1, 40)))
+        bullets, lambda x: skill_key(x).contains(skill_key(F.col("_bullet")))
     )
     some_missing = F.size(missing) > 0
     rows = rows.withColumn("_bullet", bullet)
@@ -144,7 +147,7 @@ def suggest(pairs: DataFrame) -> DataFrame:
                 some_missing, "skills", "skills", SKILLS_TITLE,
                 F.concat(
                     F.lit("These appear in the job requirements but not on your resume: "),
-                    F.array_join(F.slice(missing, 1, 10), ", "), F.lit("."),
+                    F.array_join(first_items(missing, shown_skills), ", "), F.lit("."),
                 ),
                 "skills",
                 before_list=F.col("_have"),
@@ -205,7 +208,7 @@ def apply_suggestions(suggested: DataFrame, selected: Column | None = None) -> D
     return rows.withColumn("proposed", proposed).drop("_chosen")
 
 
-def letters(pairs: DataFrame) -> DataFrame:
+def letters(pairs: DataFrame, shown_skills: int | None = None) -> DataFrame:
     """Add subject and text of a letter, as one projection per pair."""
     rows = _with_gap(pairs)
     contact = F.col("content.contact")
@@ -223,11 +226,9 @@ def letters(pairs: DataFrame) -> DataFrame:
         F.lit("I am writing to apply for the "), title, F.lit(" position at "), company,
         F.lit("."), F.coalesce(F.concat(F.lit(" I am a "), about, F.lit(".")), F.lit("")),
     )
-    fallback = F.slice(F.transform("_have", skill_key), 1, 5)
-    highlights = F.transform(
-        F.when(F.size("matched_skills") > 0, F.slice("matched_skills", 1, 6)).otherwise(fallback),
-        title_skill,
-    )
+    fallback = F.transform("_have", skill_key)
+    listed = F.when(F.size("matched_skills") > 0, F.col("matched_skills")).otherwise(fallback)
+    highlights = F.transform(first_items(listed, shown_skills), title_skill)
     skills = F.when(
         F.size("highlights") > 0,
         F.concat(

@@ -131,7 +131,7 @@ pf AS MATERIALIZED (
     {tokens("title")} AS tt,
     list_distinct(list_concat({tokens("title")},
       list_filter({tokens("description")}, lambda t: length(t) > 3))) AS kw
-  FROM postings),
+  FROM postings WHERE status IN ('discovered', 'normalized', 'eligible')),
 overlap AS (
   SELECT resume_id, posting_id, sum(sk)::BIGINT AS n_skills, sum(ti)::BIGINT AS n_title,
     sum(ke)::BIGINT AS n_kw

@@ -333,9 +333,9 @@ after AS (SELECT *,
     'Targeting ' || title || ' at ' || coalesce(company_name, 'this company') || '. '
       || coalesce(summary, 'Experienced professional delivering measurable outcomes.')
       || ' Emphasizing ' || coalesce(nullif(array_to_string(CASE WHEN len(missing) > 0
-        THEN missing_shown[1:5] ELSE matched_shown[1:5] END, ', '), ''), 'relevant domain skills')
+        THEN missing_shown ELSE matched_shown END, ', '), ''), 'relevant domain skills')
       || ' aligned to this posting.' AS new_summary,
-    'Applied ' || array_to_string(missing_shown[1:3], ', ')
+    'Applied ' || array_to_string(missing_shown, ', ')
       || ' to deliver outcomes relevant to ' || title || '.' AS new_bullet FROM proposed)"""
 
 
@@ -370,8 +370,8 @@ def tailor_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("cover_letters", f"""{PAIR}, l AS (SELECT *, coalesce(company_name, 'your team') AS who,
-  CASE WHEN len(matched) > 0 THEN matched_shown[1:6]
-    ELSE list_transform(have[1:5], lambda s: {_title("lower(s)")}) END AS shown FROM after)
+  CASE WHEN len(matched) > 0 THEN matched_shown
+    ELSE list_transform(have, lambda s: {_title("lower(s)")}) END AS shown FROM after)
 SELECT resume_id, 'Application for ' || title || ' — ' || name AS subject,
   name || chr(10) || home || chr(10) || chr(10) || 'Dear Hiring Manager,' || chr(10) || chr(10)
   || 'I am writing to apply for the ' || title || ' position at ' || who || '. I am a '

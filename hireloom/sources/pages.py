@@ -182,14 +182,15 @@ def from_json_payload(body: Column) -> Column:
     return let(F.try_parse_json(body), read)
 
 
-def from_pasted(description: Column) -> Column:
+def from_pasted(description: Column, title_length: int | None = None) -> Column:
     """Description-only record, titled by its first non-blank line."""
     text = strip(description)
     first_line = F.get(
         F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), strip), lambda s: s != ""), F.lit(0)
     )
+    title = first_line if title_length is None else F.substring(first_line, 1, title_length)
     page = _page(
-        F.coalesce(F.substring(first_line, 1, 120), F.lit(vocab.PAGE_UNTITLED)),
+        F.coalesce(title, F.lit(vocab.PAGE_UNTITLED)),
         F.lit(vocab.PASTED_COMPANY),
         text,
         F.lit(None).cast("string"),
