@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 
@@ -28,6 +29,21 @@ class IdCache(dict):
         self[word] = k
         return k
 
+    def add_all(self, words: list, found: list[list[int]]) -> None:
+        """Many new words at once."""
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
+        k = len(self)
+        while k + len(words) > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.size))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.at[k : k + len(words)] = self.used + np.cumsum(size) - size
+        self.size[k : k + len(words)] = size
+        self.used += len(flat)
+        self.update(zip(words, range(k, k + len(words)), strict=True))
+
     def of(self, number: int) -> list[int]:
         return self.ids[self.at[number] : self.at[number] + self.size[number]].tolist()
 
@@ -39,7 +55,9 @@ class IdCache(dict):
 
     def joined(self, words: Iterable, count: int) -> np.ndarray:
         """The ids of words in order."""
-        which = np.fromiter(map(self.__getitem__, words), np.int64, count)
+        return self.gathered(np.fromiter(map(self.__getitem__, words), np.int64, count))
+
+    def gathered(self, which: np.ndarray) -> np.ndarray:
         size = self.size[which]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0

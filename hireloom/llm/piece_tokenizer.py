@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -162,13 +163,19 @@ class Encoder:
             return [np.array(x, np.uint32) for x in found], [b == self._plain(t) for b, t in zip(back, texts, strict=True)]
         self.known.trim()
         split = [_WORDS.findall(self._normal(t)) if t else [] for t in texts]
-        new = [*{w for words in split for w in words}.difference(self.known)]
+        flat = [*chain.from_iterable(split)]
+        places = [*map(self.known.get, flat)]
+        new = [*dict.fromkeys(w for w, k in zip(flat, places, strict=True) if k is None)]
         found = [e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
-        for w, ids, back in zip(new, found, self.words.decode_batch(found, skip_special_tokens=False), strict=True):
-            self.known.add(w, ids)
-            if back != w.replace(MARK, " "):
-                self.lossy.add(w)
-        return [self.known.joined(words, len(words)).astype(np.uint32) for words in split], [not self.lossy or self.lossy.isdisjoint(words) for words in split]
+        # All new words are decoded as one text; only if that differs, one by one.
+        if self.words.decode([*chain.from_iterable(found)], skip_special_tokens=False) != "".join(new).replace(MARK, " "):
+            back = self.words.decode_batch(found, skip_special_tokens=False)
+            self.lossy.update(w for w, b in zip(new, back, strict=True) if b != w.replace(MARK, " "))
+        self.known.add_all(new, found)
+        which = np.array([self.known[w] if k is None else k for w, k in zip(flat, places, strict=True)], np.int64)
+        ids, ends = self.known.gathered(which).astype(np.uint32), np.cumsum(self.known.size[which])
+        cuts = np.append(0, ends)[np.cumsum([len(words) for words in split])]
+        return np.split(ids, cuts[:-1]), [not self.lossy or self.lossy.isdisjoint(words) for words in split]
 
     def _plain(self, text: str) -> str:
         """What a text decodes to if nothing is lost."""
