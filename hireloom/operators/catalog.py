@@ -67,9 +67,10 @@ def eligible(postings: DataFrame, preferences: DataFrame) -> DataFrame:
         "profile_id",
         F.col("locations").alias("_places"),
         F.col("remote_policy").alias("_policy"),
+        F.col("salary_floor").alias("_floor"),
     )
     return (
         kept.join(limits, "profile_id", "left")
-        .filter(f.within_constraints(F.col("_places"), F.col("_policy")))
-        .drop("_places", "_policy")
+        .filter(f.within_constraints(F.col("_places"), F.col("_policy"), F.col("_floor")))
+        .drop("_places", "_policy", "_floor")
     )

@@ -113,7 +113,8 @@ def not_cancelled() -> Column:
 
 
 def owned_by(profile_id: object) -> Column:
-    return F.col("profile_id") == F.lit(profile_id)
+    value = profile_id if isinstance(profile_id, Column) else F.lit(profile_id)
+    return F.col("profile_id") == value
 
 
 def usable_resume() -> Column:
@@ -165,4 +166,8 @@ def within_constraints(
     remote_ok = remote_policy.isNull() | F.coalesce(
         F.col("remote_type") == remote_policy, F.lit(False)
     )
-    return F.coalesce(place_ok, F.lit(True)) & remote_ok
+    pay_ok = F.lit(True)
+    if salary_floor is not None:
+        # A posting that states no pay is not judged by it.
+        pay_ok = F.coalesce(F.col("pay_min") >= salary_floor, F.lit(True))
+    return F.coalesce(place_ok, F.lit(True)) & remote_ok & pay_ok

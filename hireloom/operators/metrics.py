@@ -44,25 +44,31 @@ def retention(events: DataFrame, unit: str = "week") -> DataFrame:
 def user_sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
     """Activity sessions per user, for batch tables with very active users.
 
-    Sessions are first built per user and day; the pieces, few per day, are
-    then joined along the user where a session runs over midnight.
+    Events of a user in one minute are one session whatever the gap, so they
+    shrink to one row before anything is ordered. Sessions are then built per
+    user and day; the pieces, few per day, are joined along the user where a
+    session runs over midnight.
     """
     gap = gap_minutes * 60 * 1000000
-    order = ["ts", "event_id"]
-    linked = neighbour(events, ["user_id"], order, F.col("ts"), "_before", F.to_date("ts"))
+    minutes = events.groupBy("user_id", F.date_trunc("minute", "ts").alias("_minute")).agg(
+        F.min("ts").alias("_from"), F.max("ts").alias("_to"), F.count("*").alias("_n")
+    )
+    linked = neighbour(
+        minutes, ["user_id"], ["_minute"], F.col("_to"), "_before", F.to_date("_minute")
+    )
     opens = F.coalesce(
-        (F.unix_micros("ts") - F.unix_micros("_before") >= gap).cast("int"), F.lit(1)
+        (F.unix_micros("_from") - F.unix_micros("_before") >= gap).cast("int"), F.lit(1)
     )
-    inside = Window.partitionBy("user_id", "_day").orderBy(*order)
+    inside = Window.partitionBy("user_id", "_day").orderBy("_minute")
     pieces = (
-        linked.withColumn("_day", F.to_date("ts"))
+        linked.withColumn("_day", F.to_date("_minute"))
         .withColumn("_opens", opens)
         .withColumn("_piece", F.sum("_opens").over(inside))
         .groupBy("user_id", "_day", "_piece")
         .agg(
-            F.min("ts").alias("start"),
-            F.max("ts").alias("last"),
-            F.count("*").alias("n"),
+            F.min("_from").alias("start"),
+            F.max("_to").alias("last"),
+            F.sum("_n").alias("n"),
             F.max("_opens").alias("_opens"),
         )
     )
@@ -134,6 +140,20 @@ def extraction_quality(expected: DataFrame, actual: DataFrame) -> DataFrame:
     )
 
 
+def place_signals(postings: DataFrame, unit: str = "month") -> DataFrame:
+    """Demand and the spread of pay by location and period of posting."""
+    period = F.date_format(F.date_trunc(unit, "posted_at"), "yyyy-MM-dd")
+    spread = F.percentile("pay_min", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    return (
+        postings.groupBy("location", period.alias("period"))
+        .agg(F.count("*").alias("demand"), spread.alias("_pay"))
+        .select(
+            "location", "period", "demand",
+            *[F.round(F.col("_pay")[i], 2).alias(n) for i, n in enumerate(("pay_p10", "pay_p50", "pay_p90"))],
+        )
+    )
+
+
 def market_signals(postings: DataFrame) -> DataFrame:
     """Demand and pay by skill and work mode, with all subtotals."""
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hireloom.operators.filters import not_cancelled
+from hireloom.operators.filters import not_cancelled, owned_by
 from hireloom.operators.ordered import neighbour
 
 APPLICATION = ["application_key"]
@@ -170,14 +170,20 @@ def latest_status(history_rows: DataFrame) -> DataFrame:
     )
 
 
-def board(applications: DataFrame, postings: DataFrame, companies: DataFrame) -> DataFrame:
+def board(
+    applications: DataFrame, postings: DataFrame, companies: DataFrame, owner: object = None
+) -> DataFrame:
     """Active applications with posting and company, newest change first.
 
+    With ``owner`` only those of that profile, cut before anything is joined.
+
     The same rows keep their place when a posting is gone; its columns are null.
     """
     shown = postings.select(
         "posting_id", "company_id", "title", F.col("canonical_url").alias("url")
     )
+    if owner is not None:
+        applications = applications.filter(owned_by(owner))
     return (
         applications.filter(not_cancelled())
         .join(shown, "posting_id", "left")

@@ -169,7 +169,8 @@ JOIN customer ON c_custkey = profile_id LEFT JOIN companies c ON c.company_id =
 WHERE coalesce(regexp_replace(lower(company_name), '[^a-z0-9]+', ' ', 'g'), 'unknown')
     <> 'supplier ' || lpad((c_nationkey % 10)::VARCHAR, 9, '0')
   AND (c_nationkey % 2 = 0 OR contains(lower(coalesce(location, '')), 'remote'))
-  AND (c_nationkey % 3 <> 0 OR remote_type = 'remote')""")
+  AND (c_nationkey % 3 <> 0 OR remote_type = 'remote')
+  AND (c_nationkey % 5 <> 0 OR coalesce(pay_min >= 1000, true))""")
 def eligible_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = (
         b.table(spark, sf_dir, "orders")
@@ -191,5 +192,6 @@ def eligible_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array(F.lit("Remote")))
         .alias("locations"),
         F.when(nation % 3 == 0, "remote").alias("remote_policy"),
+        F.when(nation % 5 == 0, 1000.0).alias("salary_floor"),
     )
     return c.eligible(rows, preferences).select("profile_id", "posting_id")

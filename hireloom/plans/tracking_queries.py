@@ -212,6 +212,28 @@ def market_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.market_signals(b.postings(spark, sf_dir))
 
 
+@query("place_signals", f"""{o.with_(o.POSTINGS)}
+SELECT location, strftime(date_trunc('month', posted_at), '%Y-%m-%d') AS period, count(*) AS demand,
+  round(quantile_cont(pay_min, 0.1), 2) AS pay_p10, round(quantile_cont(pay_min, 0.5), 2) AS pay_p50,
+  round(quantile_cont(pay_min, 0.9), 2) AS pay_p90 FROM postings GROUP BY 1, 2""")
+def place_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.place_signals(b.postings(spark, sf_dir))
+
+
+@query("own_board", f"""{o.with_(HISTORY, o.POSTINGS, o.COMPANIES)}
+SELECT application_key, a.status, title, company_name, canonical_url AS url
+FROM applications a LEFT JOIN postings p USING (posting_id)
+LEFT JOIN companies c ON c.company_id = p.company_id WHERE a.status <> 'cancelled'
+  AND profile_id = (SELECT min(profile_id) FROM applications WHERE status <> 'cancelled')""")
+def own_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The board of one profile, here the smallest one with an active application."""
+    rows = _applications(spark, sf_dir)
+    profile = rows.where("status <> 'cancelled'").select(F.min("profile_id")).scalar()
+    return t.board(
+        rows, b.postings(spark, sf_dir), b.companies(spark, sf_dir), owner=profile
+    ).select("application_key", "status", "title", "company_name", "url")
+
+
 WIDTH = 64
 
 
