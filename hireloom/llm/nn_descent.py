@@ -381,8 +381,8 @@ def nearest(
     rounds: int = 3,
     reverse: int = 16,
     offers: int = 8,
-    widths: tuple[int, ...] = (32, 80, 80, 80),
-    pool: int = 200,
+    widths: tuple[int, ...] = (32, 96, 96, 96),
+    pool: int = 240,
     sample_rows: int = 20_000,
     nodes_per_task: int = 4096,
     queries_per_task: int = 128,
