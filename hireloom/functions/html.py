@@ -12,19 +12,27 @@ JOB_ID_PATTERN = (
     r"(?i)(?:linkedin\.com/(?:jobs/view|jobs/collections/[^/]+/)/|currentJobId=)(\d{6,})"
 )
 JOB_URL_PREFIX = "https://www.linkedin.com/jobs/view/"
+# What takes the place of markup, in this order; the results depend on the order.
+MARKUP = [
+    (r"(?i)<br\s*/?>", "\n"),
+    (r"(?i)</(p|li|h\d|div)>", "\n"),
+    (r"<[^>]+>", " "),
+    ("&nbsp;", " "),
+    ("&amp;", "&"),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&#39;", "'"),
+    (r"[ \t]+", " "),
+    (r"\n{3,}", "\n\n"),
+]
 
 
 def strip_html(markup: Column) -> Column:
-    text = F.regexp_replace(markup, r"(?i)<br\s*/?>", "\n")
-    text = F.regexp_replace(text, r"(?i)</(p|li|h\d|div)>", "\n")
-    text = F.regexp_replace(text, r"<[^>]+>", " ")
-    for entity, char in [
-        ("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-        ("&#39;", "'"),
-    ]:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.regexp_replace(text, r"[ \t]+", " ")
-    return clean(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    text = markup
+    for pattern, put in MARKUP:
+        text = F.regexp_replace(text, pattern, put)
+    return clean(text)
 
 
 def first_text(html: Column, patterns: list[str]) -> Column:

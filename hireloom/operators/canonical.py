@@ -19,8 +19,15 @@ _LEAK = rf"(?iU)\b({vocab.SECTION_LEAK})\b"
 _ONLY_LEAK = rf"(?i)^({vocab.SECTION_LEAK})$"
 _VERB = rf"(?iU)\b({vocab.ACTION_VERBS})\b"
 _PROGRAMMING = rf"(?i)^({vocab.PROGRAMMING_LANGUAGES})$"
+# Dates in titles, headings that leak into other fields, and words that open them.
 _MONTHS = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{4}|\d{4}"
 _TITLE_DATES = rf"(?i)\s+({_MONTHS})\s*[-–—to]+\s*({_MONTHS}|Present|Current|Now)\s*$"
+_LEAKED_HEADING = (
+    r"(?is)\n\s*(?:skills?|technical skills|experience|work experience|projects?|education)\s*$"
+)
+_NOT_A_PROJECT = r"(?i)^(education|certification|skills|awards|experience)"
+_NOT_A_CERTIFICATE = r"(?i)^(project|education|skills)"
+# End of the fixed values.
 
 
 def parse_object(text: Column) -> Column:
@@ -423,11 +430,10 @@ def _repaired_projects(v: Column) -> Column:
             _facts(o),
         )
 
-    headings = r"(?i)^(education|certification|skills|awards|experience)"
     rows = F.filter(
         _objects(v, "projects", build, _read_extracted),
         lambda p: p["title"].isNotNull()
-        & ~p["title"].rlike(headings)
+        & ~p["title"].rlike(_NOT_A_PROJECT)
         & ~p["title"].rlike(_BULLET_MARK)
         & ~p["title"].rlike(_ONLY_LEAK),
     )
@@ -480,7 +486,7 @@ def _repaired_certifications(v: Column) -> Column:
 
     rows = F.filter(
         _objects(v, "certifications", build, _read_extracted),
-        lambda c: c["title"].isNotNull() & ~c["title"].rlike(r"(?i)^(project|education|skills)"),
+        lambda c: c["title"].isNotNull() & ~c["title"].rlike(_NOT_A_CERTIFICATE),
     )
     return _first_of_each(rows, "title", "issuer", "date")
 
@@ -502,13 +508,7 @@ def _repaired_awards(v: Column) -> Column:
 
 def repaired_summary(summary: Column) -> Column:
     """Cut a heading that leaked in at the end; reduce a dumped list to one sentence."""
-    cut = strip(
-        F.regexp_replace(
-            summary,
-            r"(?is)\n\s*(?:skills?|technical skills|experience|work experience|projects?|education)\s*$",
-            "",
-        )
-    )
+    cut = strip(F.regexp_replace(summary, _LEAKED_HEADING, ""))
     commas = F.length(cut) - F.length(F.replace(cut, F.lit(","), F.lit("")))
     dumped = (word_count(cut) > 120) & (commas > 12)
     return blank_to_null(F.when(dumped, strip(F.split(cut, r"\.")[0])).otherwise(cut))
@@ -519,7 +519,7 @@ def repaired_location(location: Column, skills: Column) -> Column:
     words = word_count(location)
     listed = (
         location.contains(",")
-        & F.exists(F.slice(skills, 1, 8), lambda s: F.lower(location).contains(F.lower(s)))
+        & F.exists(skills, lambda s: F.lower(location).contains(F.lower(s)))
         & (words > 8)
     )
     return F.when(~((location.rlike(_VERB) | listed) & (words > 6)), location)

@@ -20,6 +20,10 @@ from hireloom.operators.sections import (
 
 BULLET = vocab.BULLET_PATTERN
 
+# Labels of skill groups that look like a role header, and how a degree line starts.
+SKILL_LABEL = r"^(data engineering|cloud|ai:)"
+DEGREE_START = r"^\p{Lu}|^(?i:master|bachelor|bca|mca)"
+
 
 def _trim(c: Column, chars: str) -> Column:
     return F.regexp_replace(c, f"^[{chars}]+|[{chars}]+$", "")
@@ -59,7 +63,7 @@ def reflow(lines: Column) -> Column:
 
 def is_role_header(line: Column) -> Column:
     piped = line.contains("|")
-    labelled = F.lower(line).rlike(r"^(data engineering|cloud|ai:)")
+    labelled = F.lower(line).rlike(SKILL_LABEL)
     return ~is_bullet(line) & (
         (has_range(line) & (piped | (word_count(line) <= 16))) | (piped & ~labelled)
     )
@@ -223,7 +227,7 @@ def _degree_lines(line: Column) -> Column:
         F.transform(F.split(line, r"(?<=\bCGPA)\s+(?=[A-Z])"), lambda p: _trim(p, " |")),
         lambda p: p != "",
     )
-    usable = F.get(parts, F.lit(0)).rlike(r"^\p{Lu}|^(?i:master|bachelor|bca|mca)")
+    usable = F.get(parts, F.lit(0)).rlike(DEGREE_START)
     return (
         F.when((F.size(parts) > 1) & usable, parts)
         .when(F.size(parts) > 1, F.array(line))

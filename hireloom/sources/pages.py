@@ -156,25 +156,27 @@ def _plain(v: Column, path: str) -> Column:
     )
 
 
+# Keys of the JSON answer, outer then inner, in order of preference.
+JSON_TITLE = (("title", "normalizedTitle"), ("text", "name"))
+JSON_COMPANY = (("companyDetails", "company"), ("companyName", "name", "universalName"))
+JSON_DESCRIPTION = (("description", "jobDescription"), ("text", "html"))
+JSON_LOCATION = (("formattedLocation", "location"), ("default", "name"))
+
+
 def from_json_payload(body: Column) -> Column:
     """A JSON answer whose values may be plain strings or nested objects."""
 
-    def nested(*keys: str, inner: tuple[str, ...]) -> list[str]:
+    def nested(keys: tuple[str, ...], inner: tuple[str, ...]) -> list[str]:
         return [p for k in keys for p in (*[f"$.{k}.{i}" for i in inner], f"$.{k}")]
 
     def read(v: Column) -> Column:
-        title = _first(v, *nested("title", "normalizedTitle", inner=("text", "name")))
-        company = _first(
-            v,
-            *nested(
-                "companyDetails", "company", inner=("companyName", "name", "universalName")
-            ),
-        )
+        title = _first(v, *nested(*JSON_TITLE))
+        company = _first(v, *nested(*JSON_COMPANY))
         page = _page(
             F.coalesce(strip(title), F.lit(vocab.PAGE_UNTITLED)),
             F.coalesce(clean(company), F.lit(vocab.UNKNOWN_COMPANY)),
-            strip_html(_first(v, *nested("description", "jobDescription", inner=("text", "html")))),
-            _first(v, *nested("formattedLocation", "location", inner=("default", "name"))),
+            strip_html(_first(v, *nested(*JSON_DESCRIPTION))),
+            _first(v, *nested(*JSON_LOCATION)),
             "json",
         )
         return F.when(F.coalesce(F.schema_of_variant(v).rlike("^OBJECT<."), F.lit(False)), page)
