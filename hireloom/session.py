@@ -44,15 +44,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def materialize(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
+def materialize(
+    df: DataFrame, name: str, spread: bool = False, folder: str | None = None
+) -> DataFrame:
     """Write a step as a Parquet table in the shared folder and read it back.
 
     Used where a result feeds several later jobs: it survives lost executors,
     cuts the lineage and keeps column pruning and filter pushdown. ``spread``
     keeps a small table that later grows in a join in many files, so that the
-    join starts with as many tasks as a shuffle would have.
+    join starts with as many tasks as a shuffle would have. Tables below a
+    ``folder`` can be removed together once nothing reads them.
     """
-    path = new_path(df.sparkSession, name)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else new_path(df.sparkSession, name)
     if spread:
         df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     df.write.parquet(path)
