@@ -144,7 +144,7 @@ class Encoder:
         self.prefix = MARK if model.dummy_prefix else ""
         self.words = Tokenizer(self.tokenizer.model)
         self.words.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
-        self.known = IdCache()
+        self.known = IdCache(1_000_000)
         self.lossy: set[str] = set()
 
     def _normal(self, text: str) -> str:
