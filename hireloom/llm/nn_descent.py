@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by inner product: a neighbour graph by NN-descent, queries by greedy search on it.
 
-Vectors get one more component that makes all lengths equal, so that the
-nearest by distance are the largest by inner product, and are kept as bytes
-for the graph. First neighbours come from leaves of random projection trees.
+Nodes get one more component that makes all lengths equal and queries get 0
+there, so that the nearest by distance are the largest by inner product. Each
+vector is kept as 16-bit numbers with a scale of its own, so a long one takes
+nothing from the others. First neighbours come from leaves of random projection trees.
 Each round then joins, in Spark, the neighbours of every node (forward and a
 bounded sample of reverse ones) with their codes, compares neighbours of one
-node with each other and sends every node the better ones found. A query
-starts at its own node and repeatedly expands its best unexpanded candidates,
-all queries in one join per step. The last candidates are scored on the
-original vectors. Equal vectors share one node, so copies cost nothing.
+node with each other and sends every node the better ones found. A query starts at its own node and at common entries
+(the longest vectors and a sample) and repeatedly expands its best unexpanded
+candidates, all queries in one join per step. All last
+candidates are scored on the original vectors. Equal vectors share one node,
+so copies cost nothing.
 """
 
 from __future__ import annotations
@@ -26,12 +28,22 @@ _PRIME = 2_147_483_647
 _LOWEST = np.float32(-np.inf)
 
 
-def _codes(column: pa.ChunkedArray) -> np.ndarray:
-    """Byte codes as rows of floats."""
-    values = column.to_pylist()
+def _decoded(values: list[bytes]) -> np.ndarray:
+    """Codes as rows of floats: the components, last the one that makes lengths equal."""
     if not values:
         return np.zeros((0, 1), np.float32)
-    return np.frombuffer(b"".join(values), np.int8).reshape(len(values), -1).astype(np.float32)
+    raw = np.frombuffer(b"".join(values), np.int16).reshape(len(values), -1)
+    head = raw[:, :4].copy().view(np.float32)
+    return np.column_stack([raw[:, 4:] * head[:, :1], head[:, 1:]])
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    return _decoded(column.to_pylist())
+
+
+def _halves(x: np.ndarray) -> np.ndarray:
+    """Half the squared length of each row: x.y - h(x) - h(y) is -|x - y|^2 / 2."""
+    return (x * x).sum(-1) / 2
 
 
 def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -132,24 +144,31 @@ class Trees:
 
 
 def _coded(vectors: DataFrame) -> DataFrame:
-    """``id``, ``code``: vectors(id, v) brought to equal length by one more component, in bytes."""
+    """``id``, ``code``, ``length`` of vectors(id, v), as parts of the longest.
+
+    A code has the scale of its vector, one more component, and the others as
+    multiples of the scale. The component that makes all lengths 1 is sqrt(1 - |x|^2); 1 less
+    that is kept instead: differences stay, and short vectors keep small values.
+    """
     norms = vectors.select(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("n"), F.size("v").alias("w"))
     longest, width = norms.agg(F.max("n"), F.max("w")).first()
     longest, width = longest or 1.0, width or 0
-    # Components of a random direction are a few times 1/sqrt(width); larger ones are clipped in the codes only.
-    scale = 127 * max(1.0, np.sqrt(width) / 5) / longest
 
     def code(batches):
         for batch in batches:
-            rows = []
+            rows, lengths = [], []
             for v in batch.column(1).to_pylist():
-                x = np.zeros(width + 1)
+                x = np.zeros(width)
                 x[: len(v)] = v
-                x[width] = np.sqrt(max(0.0, longest**2 - float(x @ x)))
-                rows.append(np.clip(np.round(x * scale), -127, 127).astype(np.int8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["id", "code"])
+                x /= longest
+                square = min(1.0, float(x @ x))
+                scale = np.float32(max(np.abs(x).max() / 32767, 1e-37))
+                more = np.float32(square / (1 + np.sqrt(1 - square)))
+                rows.append(np.array([scale, more], np.float32).tobytes() + np.clip(np.round(x / scale), -32767, 32767).astype(np.int16).tobytes())
+                lengths.append(np.sqrt(square))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), pa.array(lengths, pa.float64())], ["id", "code", "length"])
 
-    return vectors.select("id", "v").mapInArrow(code, "id long, code binary")
+    return vectors.select("id", "v").mapInArrow(code, "id long, code binary, length double")
 
 
 def _first_offers(nodes: DataFrame, trees: Trees, block: int, k: int, buckets: int) -> DataFrame:
@@ -160,18 +179,18 @@ def _first_offers(nodes: DataFrame, trees: Trees, block: int, k: int, buckets: i
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("code"), pa.array(np.full(len(found), t), pa.int32()), pa.array(found[:, t])], ["id", "code", "tree", "leaf"])
 
     placed = nodes.select("id", "code").mapInArrow(place, "id long, code binary, tree int, leaf long")
-    # A leaf that many near vectors share is cut by a hash into parts of bounded size.
+    # A leaf that many near vectors share is cut by a hash into parts of bounded size, in each tree by another one.
     sizes = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (4 * block)).alias("parts"))
-    dealt = placed.join(sizes, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    dealt = placed.join(sizes, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.col("parts")))
 
     def compare(table: pa.Table) -> pa.Table:
         ids, x = table["id"].to_numpy(), _codes(table["code"])
         keep = min(k, len(ids) - 1)
         if keep < 1:
             return _offer_table(*[np.empty(0, np.int64)] * 3, buckets)
-        owners, others, sims = [], [], []
+        owners, others, sims, half = [], [], [], _halves(x)
         for at in range(0, len(ids), 512):
-            s = x[at : at + 512] @ x.T
+            s = x[at : at + 512] @ x.T - half - half[at : at + 512, None]
             rows = np.arange(len(s))
             s[rows, at + rows] = _LOWEST
             top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
@@ -213,35 +232,36 @@ def _edges(lists: DataFrame) -> DataFrame:
     return lists.select("id", "ids", "sims").mapInArrow(explode, _EDGES)
 
 
+def _back(edges: DataFrame, reverse: int) -> DataFrame:
+    """``id``, ``other``: of each node the nearest nodes whose lists hold it, at most ``reverse``."""
+    order = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
+    turned = edges.select(F.col("other").alias("id"), F.col("id").alias("other"), "sim")
+    return turned.withColumn("at", F.row_number().over(order)).where(F.col("at") <= reverse).select("id", "other")
+
+
 def _round(lists: DataFrame, nodes: DataFrame, k: int, reverse: int, offers: int, buckets: int) -> DataFrame:
     """Lists improved by comparing the neighbours of each node with each other."""
     edges = _edges(lists)
-    order = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
-    back = (
-        edges.where(F.col("at") < reverse)
-        .select(F.col("other").alias("id"), F.col("id").alias("other"), "sim")
-        .withColumn("at", F.row_number().over(order))
-        .where(F.col("at") <= reverse)
-    )
-    members = edges.select("id", "other").union(back.select("id", "other"))
+    back = _back(edges.where(F.col("at") < reverse), reverse)
+    members = edges.select("id", "other").union(back)
     # The weakest entry of a full list is the bar for offers to that node.
     def bars(batches):
         for batch in batches:
             low = [np.frombuffer(s, np.float32) for s in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(s[-1]) if len(s) >= k else -1e30 for s in low], pa.float32())], ["id", "bar"])
 
-    barred = nodes.join(lists.select("id", "sims").mapInArrow(bars, "id long, bar float"), "id").select(F.col("id").alias("other"), "code", "bar")
+    barred = nodes.select("id", "code").join(lists.select("id", "sims").mapInArrow(bars, "id long, bar float"), "id").select(F.col("id").alias("other"), "code", "bar")
     met = members.join(barred, "other").withColumn("bucket", _bucket_of("id", buckets))
 
     def local(table: pa.Table) -> pa.Table:
         node, other, bar = (table[n].to_numpy() for n in ("id", "other", "bar"))
-        codes = np.frombuffer(b"".join(table["code"].to_pylist()), np.int8).reshape(len(node), -1)
+        codes = _codes(table["code"])
         order = np.lexsort((other, node))
         order = order[np.concatenate([[True], (node[order][1:] != node[order][:-1]) | (other[order][1:] != other[order][:-1])])]
         node, other, bar, codes = node[order], other[order], bar[order], codes[order]
         start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
         size = np.diff(np.append(start, len(node)))
-        column = np.arange(len(node)) - np.repeat(start, size)
+        column, half = np.arange(len(node)) - np.repeat(start, size), _halves(codes)
         width, owners, others, sims = int(size.max()), [], [], []
         for at in range(0, len(start), 256):
             low, high = start[at], start[at + 255] + size[at + 255] if at + 255 < len(start) else len(node)
@@ -250,7 +270,8 @@ def _round(lists: DataFrame, nodes: DataFrame, k: int, reverse: int, offers: int
             x[row, column[low:high]] = codes[low:high]
             index = np.full(x.shape[:2], -1, np.int64)
             index[row, column[low:high]] = np.arange(low, high)
-            s = x @ x.transpose(0, 2, 1)
+            h = np.where(index < 0, 0, half[index])
+            s = x @ x.transpose(0, 2, 1) - h[:, :, None] - h[:, None, :]
             s[np.broadcast_to((index < 0)[:, None, :], s.shape)] = _LOWEST
             s[:, np.arange(width), np.arange(width)] = _LOWEST
             take = min(offers, width - 1)
@@ -274,14 +295,17 @@ def _round(lists: DataFrame, nodes: DataFrame, k: int, reverse: int, offers: int
     def improve(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, row = _flat(left["ids"], np.int64)
         own = left["id"].to_numpy()[row], ids, _flat(left["sims"], np.float32)[0]
-        return _list_table(*_best_lists(*map(np.concatenate, zip(own, _offered(right), strict=True)), k))
+        owner, ids, sims = _best_lists(*map(np.concatenate, zip(own, _offered(right), strict=True)), k)
+        return _list_table(owner, ids, sims)
 
     return lists.withColumn("bucket", _bucket_of("id", buckets)).groupBy("bucket").cogroup(offered.groupBy("bucket")).applyInArrow(improve, _LISTS)
 
 
-def _adjacency(lists: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
-    """``id``, ``ids``, ``codes``: each node's neighbours with their codes."""
-    met = _edges(lists).select("id", "other").join(nodes.withColumnRenamed("id", "other"), "other").withColumn("bucket", _bucket_of("id", buckets))
+def _adjacency(lists: DataFrame, nodes: DataFrame, reverse: int, buckets: int) -> DataFrame:
+    """``id``, ``ids``, ``codes``: each node's neighbours, forward and reverse, with their codes."""
+    edges = _edges(lists)
+    both = edges.select("id", "other").union(_back(edges, reverse)).distinct()
+    met = both.join(nodes.select(F.col("id").alias("other"), "code"), "other").withColumn("bucket", _bucket_of("id", buckets))
 
     def pack(table: pa.Table) -> pa.Table:
         node, other = table["id"].to_numpy(), table["other"].to_numpy()
@@ -303,10 +327,12 @@ def _adjacency(lists: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
 _STATE = "part int, query long, code binary, ids binary, sims binary, done binary, next binary"
 
 
-def _state_row(part: int, query: int, code: bytes, ids: np.ndarray, sims: np.ndarray, done: np.ndarray, width: int, pool: int) -> tuple:
-    """A query's candidates, best first, those expanded so far, and those to expand next."""
+def _state_row(part: int, query: int, code: bytes, ids: np.ndarray, sims: np.ndarray, done: np.ndarray, width: int, pool: int, first: int | None = None) -> tuple:
+    """A query's candidates, best first, those expanded so far, and those to expand next, ``first`` in any case."""
     _, ids, sims = _best_lists(np.zeros(len(ids), np.int64), ids, sims, pool)
     after = ids[~np.isin(ids, done)][:width]
+    if first is not None and first not in after:
+        after = np.append(after, first)
     return part, query, code, ids.tobytes(), sims.tobytes(), np.concatenate([done, after]).tobytes(), after.tobytes()
 
 
@@ -316,17 +342,19 @@ def _state_table(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], kinds[i]) for i, n in enumerate(names)})
 
 
-def _start(lists: DataFrame, nodes: DataFrame, queries: DataFrame, parts: int, width: int, pool: int) -> DataFrame:
-    own = lists.join(nodes, "id").join(queries, "id", "left_semi").select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "code", "ids", "sims")
+def _start(nodes: DataFrame, queries: DataFrame, entries: pa.Table, parts: int, width: int, pool: int) -> DataFrame:
+    """Each query at its own node and at the common entries."""
+    own = nodes.join(queries, "id", "left_semi").select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "code")
+    entry_ids, entry_codes = entries["id"].to_numpy(), _codes(entries["code"])[:, :-1]
 
     def begin(batches):
         for batch in batches:
             rows = []
-            for part, node, code, ids, sims in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(code, np.int8).astype(np.float32)
+            for part, node, code in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = _decoded([code])[0, :-1]
                 # Its own node too: other vectors may equal the query's.
-                near = np.append(np.frombuffer(ids, np.int64), node), np.append(np.frombuffer(sims, np.float32), x @ x).astype(np.float32)
-                rows.append(_state_row(part, node, code, *near, np.array([node], np.int64), width, pool))
+                near = np.append(entry_ids, node), np.append(entry_codes @ x, x @ x).astype(np.float32)
+                rows.append(_state_row(part, node, code, *near, np.empty(0, np.int64), width, pool, first=node))
             yield from _state_table(rows).to_batches()
 
     return own.mapInArrow(begin, _STATE)
@@ -347,8 +375,10 @@ def _step(state: DataFrame, adjacency: DataFrame, width: int, pool: int) -> Data
         for batch in batches:
             sims = []
             for code, codes in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                x = np.frombuffer(code, np.int8).astype(np.float32)
-                sims.append((np.frombuffer(codes, np.int8).reshape(-1, len(x)).astype(np.float32) @ x).tobytes())
+                # The query's own last component counts as 0.
+                x = _decoded([code])[0, :-1]
+                near = _decoded([codes[a : a + len(code)] for a in range(0, len(codes), len(code))])
+                sims.append((near[:, :-1] @ x).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(sims, pa.binary())], ["part", "query", "ids", "sims"])
 
     seen = wanted.join(adjacency, "id").select("part", "query", "code", "ids", "codes").mapInArrow(score, "part int, query long, ids binary, sims binary")
@@ -384,6 +414,7 @@ def nearest(
     widths: tuple[int, ...] = (32, 96, 96, 96),
     pool: int = 240,
     sample_rows: int = 20_000,
+    entry_rows: int = 256,
     nodes_per_task: int = 4096,
     queries_per_task: int = 128,
 ) -> DataFrame:
@@ -397,7 +428,8 @@ def nearest(
     components take no part; shorter vectors count as followed by zeros. Rows
     that repeat are found once. An empty table gives no rows. Other columns
     are ignored. ``widths`` has the candidates expanded in each step of a
-    search; more of them, or a larger ``pool``, raise recall.
+    search; more of them, or a larger ``pool``, raise recall. Searches also
+    start at the ``entry_rows`` longest vectors and as many drawn by hash.
     """
     spark = vectors.sparkSession
     folder = new_folder(spark, "neighbours")
@@ -416,21 +448,24 @@ def nearest(
     for r in range(1, rounds + 1):
         lists = written(_round(lists, nodes, degree, reverse, offers, buckets), f"{folder}/lists{r}")
         remove(spark, f"{folder}/lists{r - 1}")
-    adjacency = written(_adjacency(lists, nodes, buckets), f"{folder}/adjacency")
+    adjacency = written(_adjacency(lists, nodes, degree, buckets), f"{folder}/adjacency")
 
     members = rows.join(classes.where("size > 1").select("v", "node"), "v")
     asked = rows.where("is_query").join(classes.select("v", "node"), "v").select(F.col("id").alias("query_id"), "node", "v")
     asked = written(asked, f"{folder}/asked")
     parts = max(1, -(-asked.count() // queries_per_task))
-    state = written(_start(lists, nodes, asked.select(F.col("node").alias("id")), parts, widths[0], pool), f"{folder}/state0")
+    longest = nodes.orderBy(F.desc("length"), "id").limit(entry_rows)
+    drawn = nodes.orderBy(F.xxhash64("id"), "id").limit(entry_rows)
+    entries = longest.union(drawn).select("id", "code").distinct().toArrow()
+    state = written(_start(nodes, asked.select(F.col("node").alias("id")), entries, parts, widths[0], pool), f"{folder}/state0")
     for s, width in enumerate([*widths[1:], 0], 1):
         state = written(_step(state, adjacency, width, pool), f"{folder}/state{s}")
 
-    # A few more candidates than asked for, as codes are rounded; each class gives its first k + 1 ids.
+    # All candidates, as codes are rounded; each class gives its first k + 1 ids.
     first = Window.partitionBy("node").orderBy("id")
     copies = members.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1).select("node", "id")
     ids = classes.where("size = 1").select("node", F.col("node").alias("id")).union(copies)
-    near = _edges(state.select(F.col("query").alias("id"), "ids", "sims")).where(F.col("at") < 3 * k + 4).select(F.col("id").alias("start"), F.col("other").alias("node"))
+    near = _edges(state.select(F.col("query").alias("id"), "ids", "sims")).select(F.col("id").alias("start"), F.col("other").alias("node"))
     scored = (
         near.join(asked.select(F.col("node").alias("start"), "query_id", F.col("v").alias("q")), "start")
         .join(classes.select("node", "v"), "node")

@@ -98,6 +98,30 @@ def test_nearest_reaches_its_recall(spark, vectors):
     assert len(hits) >= 0.9 * len(want)
 
 
+def recall(spark, x, step=20, k=20, **settings):
+    got = nearest(vector_frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]), F.col("vec_id") % step == 0, k=k, **settings).collect()
+    scores = x[::step] @ x.T
+    scores[np.arange(len(scores)), np.arange(0, len(x), step)] = -np.inf
+    want = {(q * step, int(b)) for q, row in enumerate(scores) for b in np.argsort(-row)[:k]}
+    assert len(got) == len(want)
+    return len(want & {(r.query_id, r.vec_id) for r in got}) / len(want)
+
+
+SMALL = dict(degree=16, block=128, trees=3, nodes_per_task=800, queries_per_task=64, pool=120)
+
+
+@pytest.mark.parametrize("lengths", ["unequal", "outlier"])
+def test_nearest_ranks_by_inner_product_whatever_the_lengths(spark, lengths):
+    rnd = np.random.default_rng(12)
+    x = rnd.normal(size=(20, 24))[rnd.integers(0, 20, 1500)] + 0.5 * rnd.normal(size=(1500, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if lengths == "unequal":
+        x *= np.exp(rnd.normal(size=(1500, 1)))
+    else:
+        x[777] *= 1000
+    assert recall(spark, x, **SMALL) >= 0.95
+
+
 def test_nearest_of_few_rows(spark, vectors):
     got = nearest(vector_frame(spark, [*vectors[:3], (7, [0.0] * 16)]), F.col("vec_id") == 0).collect()
     assert sorted((r.query_id, r["rank"]) for r in got) == [(0, 1), (0, 2)]
