@@ -6,9 +6,10 @@ vector is kept as 16-bit numbers with a scale of its own, so a long one takes
 nothing from the others. First neighbours come from leaves of random projection trees.
 Each round then joins, in Spark, the neighbours of every node (forward and a
 bounded sample of reverse ones) with their codes, compares neighbours of one
-node with each other and sends every node the better ones found. A query starts at its own node and at common entries
+node with each other and sends every node the better ones found, until few
+list entries change. A query starts at its own node and at common entries
 (the longest vectors and a sample) and repeatedly expands its best unexpanded
-candidates, all queries in one join per step. All last
+candidates, all queries in one join per step, until none is left. All last
 candidates are scored on the original vectors. Equal vectors share one node,
 so copies cost nothing.
 """
@@ -240,7 +241,7 @@ def _back(edges: DataFrame, reverse: int) -> DataFrame:
 
 
 def _round(lists: DataFrame, nodes: DataFrame, k: int, reverse: int, offers: int, buckets: int) -> DataFrame:
-    """Lists improved by comparing the neighbours of each node with each other."""
+    """Lists improved by comparing the neighbours of each node with each other, and how many entries of each are new."""
     edges = _edges(lists)
     back = _back(edges.where(F.col("at") < reverse), reverse)
     members = edges.select("id", "other").union(back)
@@ -296,9 +297,13 @@ def _round(lists: DataFrame, nodes: DataFrame, k: int, reverse: int, offers: int
         ids, row = _flat(left["ids"], np.int64)
         own = left["id"].to_numpy()[row], ids, _flat(left["sims"], np.float32)[0]
         owner, ids, sims = _best_lists(*map(np.concatenate, zip(own, _offered(right), strict=True)), k)
-        return _list_table(owner, ids, sims)
+        pair = lambda a, b: a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        new = ~np.isin(pair(owner, ids), pair(*own[:2]))
+        out = _list_table(owner, ids, sims)
+        starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
+        return out.append_column("changed", pa.array(np.add.reduceat(new, starts, dtype=np.int32) if len(owner) else np.empty(0, np.int32), pa.int32()))
 
-    return lists.withColumn("bucket", _bucket_of("id", buckets)).groupBy("bucket").cogroup(offered.groupBy("bucket")).applyInArrow(improve, _LISTS)
+    return lists.withColumn("bucket", _bucket_of("id", buckets)).groupBy("bucket").cogroup(offered.groupBy("bucket")).applyInArrow(improve, f"{_LISTS}, changed int")
 
 
 def _adjacency(lists: DataFrame, nodes: DataFrame, reverse: int, buckets: int) -> DataFrame:
@@ -415,6 +420,7 @@ def nearest(
     pool: int = 240,
     sample_rows: int = 20_000,
     entry_rows: int = 256,
+    changed: float = 0.001,
     nodes_per_task: int = 4096,
     queries_per_task: int = 128,
 ) -> DataFrame:
@@ -427,9 +433,12 @@ def nearest(
     Rows with a null id, a null or zero vector, or null or non-finite
     components take no part; shorter vectors count as followed by zeros. Rows
     that repeat are found once. An empty table gives no rows. Other columns
-    are ignored. ``widths`` has the candidates expanded in each step of a
-    search; more of them, or a larger ``pool``, raise recall. Searches also
-    start at the ``entry_rows`` longest vectors and as many drawn by hash.
+    are ignored. Rounds end, after ``rounds`` of them at least, when a round
+    changes no more than the share ``changed`` of the list entries. ``widths``
+    has the candidates expanded in each step of a search; the last goes on
+    until no query has an unexpanded candidate among its best ``pool``. A
+    larger ``pool`` raises recall. Searches also start at the ``entry_rows``
+    longest vectors and as many drawn by hash.
     """
     spark = vectors.sparkSession
     folder = new_folder(spark, "neighbours")
@@ -445,9 +454,13 @@ def nearest(
     sample = nodes.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("code").toArrow()
     planes = Trees(_codes(sample["code"]), max(4, block * min(sample_rows, n) // max(n, 1)), trees)
     lists = written(_merged(_first_offers(nodes, planes, block, degree, buckets), degree), f"{folder}/lists0")
-    for r in range(1, rounds + 1):
+    r, share = 0, 1.0
+    while r < rounds or share > changed:
+        r += 1
         lists = written(_round(lists, nodes, degree, reverse, offers, buckets), f"{folder}/lists{r}")
         remove(spark, f"{folder}/lists{r - 1}")
+        new, entries = lists.agg(F.sum("changed"), F.sum(F.length("ids") / 8)).first()
+        share = (new or 0) / (entries or 1)
     adjacency = written(_adjacency(lists, nodes, degree, buckets), f"{folder}/adjacency")
 
     members = rows.join(classes.where("size > 1").select("v", "node"), "v")
@@ -457,9 +470,11 @@ def nearest(
     longest = nodes.orderBy(F.desc("length"), "id").limit(entry_rows)
     drawn = nodes.orderBy(F.xxhash64("id"), "id").limit(entry_rows)
     entries = longest.union(drawn).select("id", "code").distinct().toArrow()
-    state = written(_start(nodes, asked.select(F.col("node").alias("id")), entries, parts, widths[0], pool), f"{folder}/state0")
-    for s, width in enumerate([*widths[1:], 0], 1):
-        state = written(_step(state, adjacency, width, pool), f"{folder}/state{s}")
+    s, state = 0, written(_start(nodes, asked.select(F.col("node").alias("id")), entries, parts, widths[0], pool), f"{folder}/state0")
+    while state.where(F.length("next") > 0).limit(1).count():
+        s += 1
+        state = written(_step(state, adjacency, widths[min(s, len(widths) - 1)], pool), f"{folder}/state{s}")
+        remove(spark, f"{folder}/state{s - 1}")
 
     # All candidates, as codes are rounded; each class gives its first k + 1 ids.
     first = Window.partitionBy("node").orderBy("id")

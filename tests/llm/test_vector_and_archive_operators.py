@@ -122,6 +122,15 @@ def test_nearest_ranks_by_inner_product_whatever_the_lengths(spark, lengths):
     assert recall(spark, x, **SMALL) >= 0.95
 
 
+def test_nearest_goes_on_until_nothing_changes(spark):
+    """One round and narrow steps are the least, not all: a third of the rows is one hot cluster, the rest has no clusters."""
+    rnd = np.random.default_rng(13)
+    x = rnd.normal(size=(2400, 24))
+    x[::3] = x[0] + 0.05 * rnd.normal(size=(800, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert recall(spark, x, **SMALL | dict(trees=2, block=32, rounds=1, widths=(16, 16))) >= 0.95
+
+
 def test_nearest_of_few_rows(spark, vectors):
     got = nearest(vector_frame(spark, [*vectors[:3], (7, [0.0] * 16)]), F.col("vec_id") == 0).collect()
     assert sorted((r.query_id, r["rank"]) for r in got) == [(0, 1), (0, 2)]
