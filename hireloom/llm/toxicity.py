@@ -40,6 +40,7 @@ COST_LOOKALIKE, COST_FILLER, COST_REPEAT = 1.0, 0.5, 0.7
 BUCKETS = 1 << 20
 _PRIOR = 5.0
 _TOP = 3
+_SHORT = 3
 
 _SYMBOL_OF = np.zeros(256, np.int64)
 for _i in range(26):
@@ -47,7 +48,7 @@ for _i in range(26):
 _SYMBOL_OF[128:] = 27
 
 _EDGE = re.compile(r"^[^\w@!$+(|#]+|[^\w@!$+|#]+$")
-_DISGUISED = re.compile(r"[^\W\d_][@$!|+#(0-9]|[@$!|+#(0-9][^\W\d_]|(.)\1\1|[^\W_][.\-_*~'`^][^\W_][.\-_*~'`^][^\W_]")
+_DISGUISED = re.compile(r"[^\W\d_][@$!|+#(0-9]|[@$!|+#(0-9][^\W\d_]|[^\W\d_][.\-_*~'`^]+[^\W_]|([^\W\d_])\1")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -105,16 +106,38 @@ def features(token: str, costs: list) -> list[int]:
     return out
 
 
-def _singles(words: list[bytes]) -> list[bytes]:
-    """Runs of three or more one-character words, each joined to one word."""
-    out, run = [], []
-    for w in [*words, b"  "]:
-        if len(w) == 1:
-            run.append(w)
-        else:
-            if len(run) > 2:
-                out.append(b"".join(run))
-            run = []
+class _Pieces(dict):
+    """From a word to its characters without edges, where they are at most ``_SHORT``, else None."""
+
+    def __missing__(self, word: bytes) -> str | None:
+        if len(self) > 100_000:
+            self.clear()
+        piece = _EDGE.sub("", word.decode("utf-8", "replace")) if len(word) <= 8 * _SHORT else ""
+        found = self[word] = piece if 0 < len(piece) <= _SHORT else None
+        return found
+
+
+_PIECES = _Pieces()
+
+
+def _joined(words: list[bytes]) -> set[bytes]:
+    """Words that may be written in pieces: of each run of short pieces, from every piece on, 3 and at least 6 characters.
+
+    The longer one holds the stems, and so all that is learned of words of 4
+    to 6 characters and of the starts of longer ones, wherever a word ends.
+    """
+    pieces = [*map(_PIECES.__getitem__, words), None]
+    out = set()
+    for i in range(len(pieces) - 1):
+        if pieces[i] is None or pieces[i + 1] is None:
+            continue
+        text, at = pieces[i], i + 1
+        while len(text) < 6 and (piece := pieces[at]) is not None:
+            text, at = text + piece, at + 1
+            if len(text) == 3:
+                out.add(text.encode())
+        if len(text) > 3:
+            out.add(text.encode())
     return out
 
 
@@ -132,7 +155,7 @@ class _Features(dict):
     def words(self, text: bytes) -> list[list[int]]:
         """The features of each distinct word of a text."""
         words = text.split()
-        return [f for w in {*words, *_singles(words)} if (f := self[w])]
+        return [f for w in {*words, *_joined(words)} if (f := self[w])]
 
 
 @dataclass
@@ -147,7 +170,7 @@ class Model:
 
 
 class _Evidence(dict):
-    """From a word to its strongest evidence; one-character words are marked."""
+    """From a word to its strongest evidence."""
 
     def __init__(self, model: Model):
         super().__init__()
@@ -156,16 +179,14 @@ class _Evidence(dict):
     def __missing__(self, word: bytes) -> float:
         if len(self) > 300_000:
             self.clear()
-        found = features(word.decode("utf-8", "replace"), self.costs) if len(word) > 1 else None
-        value = self[word] = -99.0 if found is None else float(self.model.evidence[found].max()) if found else -98.0
+        found = features(word.decode("utf-8", "replace"), self.costs)
+        value = self[word] = float(self.model.evidence[found].max()) if found else -98.0
         return value
 
     def strongest(self, text: bytes) -> np.ndarray:
         words = text.split()
-        # Distinct words, as in training; a run of single characters shows in the order.
-        seen = np.array([*map(self.__getitem__, {*words})], np.float64)
-        if (seen == -99.0).sum() > 1:
-            seen = np.append(seen, [self[w] for w in _singles(words)])
+        # Distinct words, as in training.
+        seen = np.array([*map(self.__getitem__, {*words, *_joined(words)})], np.float64)
         return _strongest(seen, self.model.base)
 
 

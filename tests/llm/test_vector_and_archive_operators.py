@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hireloom.llm import toxicity as toxicity_module
 from hireloom.llm import warc
 from hireloom.llm.cover_tree import build, exact_top_k, search
 from hireloom.llm.graph import components
@@ -198,6 +199,18 @@ def test_disguised_words_are_restored():
     assert "idiot" in readings('"1d1ot,', costs) and readings("plain.", costs) == ["plain"]
 
 
+def test_every_disguise_gives_the_stems_of_the_word():
+    texts = ["such a stupid moron and a stupid dämlich moron", "the moron was dämlich and stupid", "plain words about other things"] * 40
+    known = toxicity_module._Features(trigram_costs(count_trigrams([t.encode() for t in texts])).tolist())
+    parts = lambda text: {x for f in known.words(text.encode()) for x in f}
+    for text, word in [
+        ("such a m o r o n", "moron"), ("I a m o r o n y", "moron"), ("so d ä m l i c h ist", "dämlich"), ("the mo ron went", "moron"), ('a "m 0 r 0 n".', "moron"),
+        ("stu-pid", "stupid"), ("st.upid", "stupid"), ("stuupid", "stupid"), ("very s t u p i d words", "stupid"),
+    ]:
+        stems = {zlib.crc32(word[:n].encode()) % toxicity_module.BUCKETS for n in (4, 5, 6)}
+        assert stems <= parts(text), text
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rnd = np.random.default_rng(6)
     vocabulary = ["".join(rnd.choice(list("aeionrstl"), 6)) for _ in range(300)]
