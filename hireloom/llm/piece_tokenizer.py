@@ -205,7 +205,8 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     With ``digest`` ``ids_crc32`` (of the little-endian 32-bit ids) stands in
     for the list. With ``verify`` three columns follow: ``parity``, whether
     the original library gives the same ids; ``n_differing``, how many places
-    differ; ``round_trip``, whether the ids decode to the normalised text.
+    differ; ``round_trip``, whether the whole list decodes to the normalised
+    text and to what the original library decodes from its own.
 
     A null or empty text has no ids and agrees. Null and repeated ids are
     allowed; an empty table gives no rows; other columns are ignored.
@@ -241,7 +242,9 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             same = [np.array_equal(a, b) for a, b in zip(found, other, strict=True)]
             columns["parity"] = pa.array(same)
             columns["n_differing"] = pa.array([0 if s else differing(a, b) for s, a, b in zip(same, found, other, strict=True)], pa.int64())
-            columns["round_trip"] = pa.array(whole)
+            back = decoded(known.tokenizer, [f.tolist() for f in found])
+            theirs = ref.decode([o.tolist() for o in other], num_threads=1)
+            columns["round_trip"] = pa.array([w and b == t for w, b, t in zip(whole, back, theirs, strict=True)])
         return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -254,6 +257,10 @@ def differing(a: np.ndarray, b: np.ndarray) -> int:
     return int((a[:n] != b[:n]).sum()) + abs(len(a) - len(b))
 
 
+def decoded(tokenizer: Tokenizer, lists: list[list[int]]) -> list[str]:
+    return tokenizer.decode_batch(lists, skip_special_tokens=False)
+
+
 def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id_col`` and ``text``: the texts of lists of ids; null lists give null, empty lists empty texts."""
 
@@ -261,7 +268,7 @@ def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", i
         tokenizer = load(model_path)
         for batch in batches:
             lists = batch.column(1).to_pylist()
-            texts = tokenizer.decode_batch([x or [] for x in lists], skip_special_tokens=False)
+            texts = decoded(tokenizer, [x or [] for x in lists])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else t for x, t in zip(lists, texts, strict=True)], pa.string())], ["id", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()

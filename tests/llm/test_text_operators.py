@@ -264,6 +264,43 @@ def test_pieces_of_odd_texts_and_back(spark):
     assert encode_pieces(docs.limit(0), MODEL).count() == 0
 
 
+def test_a_differing_decoder_shows_in_round_trip(spark, tmp_path):
+    """A copy of the model, whose encoder gets another decoder."""
+    from tokenizers import decoders
+
+    import hireloom.llm.piece_tokenizer as module
+
+    path = tmp_path / "copy.model"
+    path.write_bytes(open(MODEL, "rb").read())
+    docs, kept = spark.createDataFrame([(1, "some plain words"), (2, "")], "doc_id long, text string"), module.encoder
+
+    def other(p):
+        found = kept(p)
+        found.tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, "_"), decoders.ByteFallback(), decoders.Fuse()])
+        return found
+
+    rows = []
+
+    class Plain:
+        sparkSession, schema = spark, docs.schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            import pyarrow as pa
+
+            rows.extend(x for b in f(iter([pa.RecordBatch.from_pydict({"id": [1, 2], "text": ["some plain words", ""]})])) for x in b.to_pylist())
+            return docs
+
+    module.encoder = other
+    try:
+        encode_pieces(Plain(), str(path), verify=True)
+    finally:
+        module.encoder = kept
+    assert [(r["parity"], r["round_trip"]) for r in rows] == [(True, False), (True, True)]
+
+
 def test_unigram_models_are_rebuilt():
     def message(number, value):
         return bytes([number << 3 | 2, len(value)]) + value
