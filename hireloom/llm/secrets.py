@@ -38,7 +38,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{16,}")
 CHECKED_TOKEN = re.compile(rb"(?:gh[pousr]_|npm_)([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
-PEM = re.compile(rb"-----BEGIN ([A-Z ]*PRIVATE KEY)-----[A-Za-z0-9+/=\s]+-----END \1-----")
+PEM = re.compile(rb"-----BEGIN ([A-Z ]*PRIVATE KEY(?: BLOCK)?)-----[ \t]*(?:\r?\n[A-Za-z][A-Za-z0-9-]*:[^\n]*)*[A-Za-z0-9+/=\s]+-----END \1-----")
 MIN_VALUE, MIN_ACCESS = 12, 18
 KINDS = (*BASE_KINDS, "github", "npm", "jwt", "pem")
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"

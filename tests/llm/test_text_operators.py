@@ -229,6 +229,13 @@ def test_secret_spans_equal_brute_force(frame):
     assert masked[1].startswith("é [secret:assign]' and TOKEN:x") and masked[5] is None and masked[6] == ""
 
 
+def test_private_keys_with_headers_are_found():
+    encrypted = b"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\nAAAA+/==\n-----END RSA PRIVATE KEY-----"
+    block = b"-----BEGIN PGP PRIVATE KEY BLOCK-----\r\nVersion: GnuPG v2\r\nComment: a (b)\r\n\r\nlQOY\r\n=aB3d\r\n-----END PGP PRIVATE KEY BLOCK-----"
+    for text in (encrypted, block):
+        assert secrets.find_spans(b"x " + text + b" y") == [(2, 2 + len(text), "pem")]
+
+
 def test_secret_scan_of_an_empty_table(frame):
     assert secrets.secret_scan(frame([])).count() == 0
 
