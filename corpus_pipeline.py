@@ -26,11 +26,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, 0.8) the document of the smallest id stays.
 
-    Rows of one id are one document, of which the least text stays. Rows
-    without an id, and documents without words, have no copies and stay.
+    Rows of one id are one document of several texts: all of them stay or go,
+    and of equal rows (id and text) one stays. Rows without an id, and
+    documents without words, have no copies and stay.
     """
     kept = near_dedup(docs, shingle=5).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
+    first = Window.partitionBy("doc_id", "text").orderBy("lang", "source", "n_chars")
     named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").withColumn("at", F.row_number().over(first)).where("at = 1").drop("at")
     return named.union(docs.select(*COLUMNS).where("doc_id IS NULL"))
 

@@ -7,6 +7,12 @@ def test_every_operator_has_a_query():
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
 
 
+def test_rows_of_one_id_keep_their_texts(spark, frame):
+    rows = [(1, None), (1, "first text of one"), (1, "second and other words"), (1, "first text of one"), (2, "something else")]
+    got = corpus_pipeline.drop_near_copies(spark, frame(rows), "").collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted({(i, t or "") for i, t in rows})
+
+
 def test_stages_keep_what_is_clean(spark, frame, words, tmp_path):
     """Each stage's decision against what the rows were made for."""
     import random
