@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 
 from hireloom.llm.cover_tree import exact_top_k
 from hireloom.llm.licences import LICENCES, NOTICES, canonical_sql, licence_scan
+from hireloom.llm.merkle import merkle_manifest
 from hireloom.llm.near_dedup import near_dedup
 from hireloom.llm.nn_descent import nearest
 from hireloom.llm.packing import packed
 from hireloom.llm.piece_tokenizer import encode_pieces
 from hireloom.llm.secrets import BASE_KINDS, secret_scan
 from hireloom.llm.shared import new_folder
+from hireloom.llm.simhash import simhash_dedup
 from hireloom.llm.substring_dedup import substring_dedup
 from hireloom.llm.toxicity import toxicity
 from hireloom.llm.warc import read_pages, write_archives
+from hireloom.llm.whitening import whiten
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -178,3 +181,62 @@ SELECT doc_id, digest, licence_id, coalesce(notices, '') AS notices FROM d LEFT
 @query("op7_licence_scan", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents")).withColumn("notices", F.array_join("notices", ","))
+
+
+@query("op11_simhash_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(table(spark, sf_dir, "embeddings"))
+    # Null where the exact value is beyond a long.
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+_FIELD = "coalesce(CAST(octet_length(encode(CAST({0} AS VARCHAR))) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}"))
+
+OP13_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT *, row_number() OVER () AS rid, CAST(doc_id AS VARCHAR) AS s, coalesce('=' || source, '') AS tree FROM documents),
+c AS (SELECT rid, xor(list_reduce(list_prepend(4294967295, flatten([[CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0] FOR x IN string_split(s, '')])),
+    lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) AS crc FROM d WHERE s IS NOT NULL),
+l AS (SELECT rid, doc_id, tree, sha256({_LEAF.format("text")}) AS leaf,
+        sha256({_LEAF.format("CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")}) AS changed
+      FROM d LEFT JOIN c USING (rid)),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM l),
+up(tree, lev, pos, n, h) AS (
+  SELECT tree, 0, pos, n, leaf FROM p
+  UNION ALL
+  SELECT tree, lev + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY tree, lev, pos // 3, n),
+subroots AS (SELECT tree, h AS subroot, lev AS depth, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+over(lev, pos, n, h) AS (
+  SELECT 0, pos, n, subroot FROM subroots
+  UNION ALL
+  SELECT lev + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM over WHERE n > 1 GROUP BY lev, pos // 3, n),
+runs AS (SELECT tree, lev, pos, n, h, string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lefts,
+           string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS rights
+         FROM (SELECT * FROM up UNION ALL SELECT '/', lev, pos, n, h FROM over) WINDOW w AS (PARTITION BY tree, lev, pos // 3 ORDER BY pos)),
+walk(rid, tree, lev, depth, base, pos, cur, proof) AS (
+  SELECT rid, p.tree, 0, depth, s.pos, CASE WHEN depth = 0 THEN s.pos ELSE p.pos END, changed, '' FROM p JOIN subroots s USING (tree)
+  UNION ALL
+  SELECT w.rid, w.tree, w.lev + 1, w.depth, w.base, CASE WHEN w.lev + 1 = w.depth THEN w.base ELSE w.pos // 3 END,
+    sha256(coalesce(lefts, '') || cur || coalesce(rights, '')), proof || coalesce(lefts, '') || coalesce(rights, '')
+  FROM walk w JOIN runs r ON r.tree = CASE WHEN w.lev < w.depth THEN w.tree ELSE '/' END
+    AND r.lev = CASE WHEN w.lev < w.depth THEN w.lev ELSE w.lev - w.depth END AND r.pos = w.pos
+  WHERE r.n > 1),
+ends AS (SELECT rid, cur, proof FROM walk QUALIFY row_number() OVER (PARTITION BY rid ORDER BY lev DESC) = 1),
+top AS (SELECT h AS root FROM over WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified
+FROM p JOIN subroots USING (tree) JOIN ends USING (rid) CROSS JOIN top
+"""
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    found = merkle_manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], found={"text": tampered})
+    proof = F.sha2(F.replace(F.array_join("proof", ""), F.lit("|"), F.lit("")), 256)
+    return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
