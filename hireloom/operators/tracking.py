@@ -242,3 +242,36 @@ def funnel(applications: DataFrame) -> DataFrame:
         rate("interview").alias("interview_rate"),
         F.grouping_id().alias("subtotal_level"),
     )
+
+
+def conversion(history_rows: DataFrame, steps: list[str]) -> DataFrame:
+    """How many applications ever reached each step, and what share of those that reached the step before.
+
+    An application counts for a step whatever came between; the share counts
+    those that reached both. One row per step, in order.
+    """
+    reached = history_rows.groupBy(*APPLICATION).agg(
+        *[F.max((F.col("to_status") == s).cast("int")).alias(f"s{i}") for i, s in enumerate(steps)]
+    )
+    sums = [F.sum(f"s{i}").alias(f"n{i}") for i in range(len(steps))]
+    sums += [F.sum(F.col(f"s{i - 1}") * F.col(f"s{i}")).alias(f"b{i}") for i in range(1, len(steps))]
+    rows = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(s).alias("step"),
+            F.coalesce(f"n{i}", F.lit(0)).alias("applications"),
+            (F.round(F.col(f"b{i}") / F.nullif(F.col(f"n{i - 1}"), F.lit(0)), 4) if i else F.lit(None).cast("double")).alias("from_before"),
+        )
+        for i, s in enumerate(steps)
+    ]
+    return reached.agg(*sums).select(F.inline(F.array(*rows)))
+
+
+def acceptance(matches: DataFrame, applications: DataFrame, keys: list[str]) -> DataFrame:
+    """Share of the matches shown that their profile applied to, per ``keys`` of the matches."""
+    taken = applications.select("profile_id", "posting_id", F.lit(1).alias("_taken")).distinct()
+    return matches.join(taken, ["profile_id", "posting_id"], "left").groupBy(*keys).agg(
+        F.count("*").alias("shown"),
+        F.count("_taken").alias("accepted"),
+        F.round(F.count("_taken") / F.count("*"), 4).alias("acceptance_rate"),
+    )

@@ -136,6 +136,61 @@ def funnel_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.funnel(_applications(spark, sf_dir).join(provider, "posting_id"))
 
 
+STEPS = ["interested", "applied", "interview", "cancelled"]
+REACHED = ", ".join(f"max((to_status = '{s}')::INT) AS s{i}" for i, s in enumerate(STEPS))
+
+
+@query("funnel_conversion", f"""{H},
+r AS (SELECT application_key, {REACHED} FROM history GROUP BY 1)
+""" + " UNION ALL ".join(
+    f"SELECT {i} AS position, '{s}' AS step, sum(s{i})::BIGINT AS applications, "
+    + (f"round(sum(s{i - 1} * s{i}) / sum(s{i - 1}), 4)" if i else "NULL::DOUBLE") + " AS from_before FROM r"
+    for i, s in enumerate(STEPS)
+))
+def funnel_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.conversion(_history(spark, sf_dir), STEPS)
+
+
+@query("match_acceptance", f"""{H},
+shown AS (SELECT l_suppkey AS profile_id, l_partkey % 10 AS posting_id, l_returnflag AS channel FROM lineitem),
+taken AS (SELECT DISTINCT profile_id, posting_id FROM applications)
+SELECT channel, count(*) AS shown, count(t.profile_id) AS accepted, round(count(t.profile_id) / count(*), 4) AS acceptance_rate
+FROM shown s LEFT JOIN taken t ON t.profile_id = s.profile_id AND t.posting_id = s.posting_id GROUP BY 1""")
+def match_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines stand for matches shown to a profile, by the way they came."""
+    shown = b.table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("profile_id"), (F.col("l_partkey") % 10).alias("posting_id"), F.col("l_returnflag").alias("channel")
+    )
+    return t.acceptance(shown, _applications(spark, sf_dir), ["channel"])
+
+
+KEYED = f"""{o.COMMANDS},
+named AS (SELECT *, CASE WHEN command_id % 3 = 0 THEN 'req-' || profile_id || '-' || (command_id % 4) END AS idempotency_key FROM commands),
+lives AS (SELECT *, coalesce(idempotency_key, 'track:' || profile_id || ':' || posting_id) AS own_key,
+  coalesce(sum((op = 'delete')::INT) OVER (pair ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life
+  FROM named WINDOW pair AS (PARTITION BY profile_id, posting_id ORDER BY ts, command_id)),
+owned AS (SELECT *, first_value(CASE WHEN op = 'upsert' THEN own_key END IGNORE NULLS) OVER (
+  PARTITION BY profile_id, posting_id, life ORDER BY ts, command_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS owner FROM lives),
+made AS (SELECT *, list(CASE WHEN op = 'upsert' THEN owner END) OVER (
+  PARTITION BY profile_id, posting_id ORDER BY ts, command_id ROWS UNBOUNDED PRECEDING) AS made FROM owned),
+keyed AS (SELECT * EXCLUDE (owner, made),
+  CASE WHEN list_contains(made, own_key) THEN own_key ELSE coalesce(owner, own_key) END AS application_key FROM made),"""
+KEYED_HISTORY = f"{KEYED} {HISTORY[HISTORY.index('starts AS'):]}"
+
+
+def keyed_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands of which a third carry a key; a key is used for several postings of a profile."""
+    key = F.concat(F.lit("req-"), F.col("profile_id").cast("string"), F.lit("-"), (F.col("command_id") % 4).cast("string"))
+    return b.commands(spark, sf_dir).withColumn("idempotency_key", F.when(F.col("command_id") % 3 == 0, key))
+
+
+@query("application_keys", f"""{o.with_(KEYED_HISTORY)}
+SELECT application_key, command_id, from_status, to_status, reason FROM history""")
+def application_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.history(t.resolve(keyed_commands(spark, sf_dir))).select("application_key", "command_id", "from_status", "to_status", "reason")
+
+
 @query("weekly_active", """SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS period,
   count(DISTINCT user_id) AS users FROM events GROUP BY 1""")
 def weekly_active(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,6 +275,25 @@ def place_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.place_signals(b.postings(spark, sf_dir))
 
 
+SHARES, RANK_ERROR = {"p10": 0.1, "p50": 0.5, "p90": 0.9}, 0.02
+
+
+@query("pay_sketch_rollup", f"""{o.with_(o.POSTINGS)}
+SELECT location, count(*) AS demand, true AS p10_close, true AS p50_close, true AS p90_close
+FROM (SELECT location, unnest(skills) AS skill FROM postings) GROUP BY 1""")
+def pay_sketch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pay quantiles of places, merged from the sketches of place, period and skill, and whether their exact ranks are close."""
+    posted = b.postings(spark, sf_dir)
+    places = metrics.sketch_quantiles(metrics.merged_sketches(metrics.pay_sketches(posted, 400), ["location"]), SHARES)
+    pays = posted.select("location", F.explode("skills"), F.col("pay_min").cast("double").alias("pay"))
+    one = [places["location"].eqNullSafe(pays["location"])]
+    below = [F.avg((F.col("pay") < F.col(n)).cast("int")).alias(f"{n}_below") for n in SHARES]
+    upto = [F.avg((F.col("pay") <= F.col(n)).cast("int")).alias(f"{n}_upto") for n in SHARES]
+    ranked = places.join(pays.drop("col"), one).groupBy(places["location"], "demand").agg(*below, *upto)
+    close = [((F.col(f"{n}_below") <= q + RANK_ERROR) & (F.col(f"{n}_upto") >= q - RANK_ERROR)).alias(f"{n}_close") for n, q in SHARES.items()]
+    return ranked.select("location", "demand", *close)
+
+
 @query("own_board", f"""{o.with_(HISTORY, o.POSTINGS, o.COMPANIES)}
 SELECT application_key, a.status, title, company_name, canonical_url AS url
 FROM applications a LEFT JOIN postings p USING (posting_id)
