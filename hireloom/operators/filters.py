@@ -28,8 +28,9 @@ class SearchFilters:
         return None if value in ("", "any") else value
 
 
-def level_filtered_at_source() -> Column:
-    return F.col("provider") == vocab.LEVEL_FILTERED_PROVIDER
+def level_filtered_at_source(by: Column | None = None) -> Column:
+    """Postings whose provider filtered by level itself, told by a source tag or, without one, by the provider."""
+    return F.coalesce((F.col("provider") if by is None else by) == vocab.LEVEL_FILTERED_PROVIDER, F.lit(False))
 
 
 def free_text(query: str) -> Column:
@@ -86,18 +87,18 @@ def any_skill(skills: list[str], listed: str = "skills") -> Column:
     return let(blob, lambda b: F.exists(wanted, lambda s: b.contains(s)))
 
 
-def level_is(level: str) -> Column:
-    return level_filtered_at_source() | (
+def level_is(level: str, by: Column | None = None) -> Column:
+    return level_filtered_at_source(by) | (
         experience_level(F.col("title"), F.col("description")) == level.lower()
     )
 
 
-def years_at_least(years: int) -> Column:
+def years_at_least(years: int, by: Column | None = None) -> Column:
     """Drops only junior postings that ask for fewer years."""
     too_junior = (min_years(F.col("title"), F.col("description")) < years) & (
         experience_level(F.col("title"), F.col("description")) == "junior"
     )
-    return level_filtered_at_source() | ~F.coalesce(too_junior, F.lit(False))
+    return level_filtered_at_source(by) | ~F.coalesce(too_junior, F.lit(False))
 
 
 def open_posting() -> Column:
@@ -131,9 +132,16 @@ def origin_is(wanted: str | None) -> Column:
     return origin(F.col("source_object_key")) == wanted
 
 
-def matches(filters: SearchFilters, mode: str = "discover", skills: str = "skills") -> Column:
-    """All filters of a search as one predicate."""
-    parts = []
+def matches(filters: SearchFilters, mode: str = "discover", skills: str = "skills", source: Column | None = None) -> Column:
+    """All filters of a search as one predicate.
+
+    ``source`` is the tag by which a posting says who filtered it by level;
+    such postings pass the filters of level and years. When postings are
+    discovered with a level filter, those of that provider pass both too.
+    """
+    parts, by = [], source
+    if source is not None and mode == "discover" and filters.wanted("experience_level"):
+        by = F.when(level_filtered_at_source(), F.lit(vocab.LEVEL_FILTERED_PROVIDER)).otherwise(source)
     if filters.query and filters.query.strip():
         parts.append(
             catalog_text(filters.query) if mode == "catalog" else free_text(filters.query)
@@ -147,9 +155,9 @@ def matches(filters: SearchFilters, mode: str = "discover", skills: str = "skill
     if filters.skills:
         parts.append(any_skill(filters.skills, skills))
     if filters.wanted("experience_level"):
-        parts.append(level_is(filters.wanted("experience_level")))
+        parts.append(level_is(filters.wanted("experience_level"), by))
     if filters.min_experience_years is not None:
-        parts.append(years_at_least(filters.min_experience_years))
+        parts.append(years_at_least(filters.min_experience_years, by))
     out = F.lit(True)
     for part in parts:
         out = out & part

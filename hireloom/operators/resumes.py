@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hireloom.functions.text import checksum
 from hireloom.operators.filters import origin_is, usable_resume
+from hireloom.session import materialize, new_path, remove
 
 
 def active_versions(resumes: DataFrame, versions: DataFrame) -> DataFrame:
@@ -133,6 +134,46 @@ def lineage(versions: DataFrame, postings: DataFrame) -> DataFrame:
     return versions.join(parent, "parent_version_id", "left").join(target, "posting_id", "left")
 
 
+def ancestry(versions: DataFrame) -> DataFrame:
+    """``version_id``, ``root_version_id``, ``depth`` and ``cyclic`` of every version, however long its chain.
+
+    Pointer doubling: each step joins a version's farthest known ancestor with
+    that ancestor's own, so a chain of n versions takes log2(n) joins, and only
+    versions whose root is not known yet take part. A parent that is not in the
+    table counts as none. Versions on a cycle, or below one, have neither root
+    nor depth; they are those left after as many steps as the table can need.
+    """
+    spark = versions.sparkSession
+    work = new_path(spark, "ancestry")
+    known = versions.select(F.col("version_id").alias("p")).distinct()
+    linked = versions.select(F.col("version_id").alias("v"), F.col("parent_version_id").alias("p")).join(known, "p", "left_semi")
+    roots = versions.select(F.col("version_id").alias("v")).join(linked.select("v"), "v", "left_anti")
+    done = materialize(roots.select("v", F.col("v").alias("up"), F.lit(0).cast("long").alias("depth")), "done", folder=work)
+    open_ = materialize(linked.select("v", F.col("p").alias("up"), F.lit(1).cast("long").alias("depth")), "open", folder=work)
+    total = done.count() + open_.count()
+    for _ in range(total.bit_length() + 1):
+        if open_.isEmpty():
+            break
+        # What the ancestors point to by now: a root points to itself at depth 0.
+        ahead = done.withColumn("found", F.lit(True)).unionByName(open_.withColumn("found", F.lit(False)))
+        ahead = ahead.select(F.col("v").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), "found")
+        moved = open_.join(ahead, "up").select("v", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), "found")
+        moved = materialize(moved, "moved", folder=work)
+        done = done.unionByName(moved.filter("found").drop("found"))
+        open_ = moved.filter("NOT found").drop("found")
+    rooted = done.select(F.col("v").alias("version_id"), F.col("up").alias("root_version_id"), "depth", F.lit(False).alias("cyclic"))
+    none = F.lit(None)
+    lost = open_.select(
+        F.col("v").alias("version_id"),
+        none.cast(versions.schema["version_id"].dataType).alias("root_version_id"),
+        none.cast("long").alias("depth"),
+        F.lit(True).alias("cyclic"),
+    )
+    found = materialize(rooted.unionByName(lost), "ancestry")
+    remove(spark, work)
+    return found
+
+
 def delete_resumes(
     gone: DataFrame, resumes: DataFrame, versions: DataFrame, contents: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:

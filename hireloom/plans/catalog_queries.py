@@ -79,6 +79,26 @@ _filter_query(
 _filter_query("filter_open_status", f.open_posting, OPEN)
 
 
+@query("filter_source_tag", f"""{P}
+SELECT 'level' AS kind, posting_id FROM postings WHERE provider = 'naukri' OR posting_id % 4 = 0
+  OR ({LEVEL} = 'senior' AND NOT ({YEARS} < 6 AND {LEVEL} = 'junior'))
+UNION ALL
+SELECT 'years', posting_id FROM postings WHERE posting_id % 4 = 0 OR NOT ({YEARS} < 3 AND {LEVEL} = 'junior')
+UNION ALL
+SELECT 'catalog', posting_id FROM postings WHERE posting_id % 4 = 0 OR {LEVEL} = 'mid'""")
+def filter_source_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings that carry the tag of a provider which filters by level, whoever delivered them."""
+    rows = b.postings(spark, sf_dir).withColumn("requirements", F.struct(F.when(F.col("posting_id") % 4 == 0, "naukri").alias("source")))
+    source = F.col("requirements.source")
+    searches = {
+        "level": (f.SearchFilters(experience_level="Senior", min_experience_years=6), "discover"),
+        "years": (f.SearchFilters(min_experience_years=3), "discover"),
+        "catalog": (f.SearchFilters(experience_level="mid"), "catalog"),
+    }
+    found = [rows.filter(f.matches(s, mode, source=source)).select(F.lit(kind).alias("kind"), "posting_id") for kind, (s, mode) in searches.items()]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
 @query("seniority_class", f"""{P} SELECT posting_id, {LEVEL} AS level, {YEARS}::INT AS min_years
 FROM postings""")
 def seniority_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +162,33 @@ def catalog_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PAGE = 20
+ORDERED = f"""{P}, ranked AS (SELECT *, row_number() OVER (ORDER BY posted_at DESC NULLS LAST, created_at DESC, posting_id) AS rank,
+  count(*) OVER () AS total FROM postings WHERE {OPEN})"""
+
+
+@query("catalog_deep_page", f"""{ORDERED}
+SELECT rank, posting_id, strftime(posted_at, '%Y-%m-%d') AS posted FROM ranked
+WHERE rank > total * 9 // 10 AND rank <= total * 9 // 10 + {PAGE}""")
+def catalog_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of all open postings, nine tenths of the way through."""
+    table = c.RankTable(b.postings(spark, sf_dir).filter(f.open_posting()))
+    return table.page(PAGE, table.total * 9 // 10).select(
+        "rank", "posting_id", F.date_format("posted_at", "yyyy-MM-dd").alias("posted")
+    )
+
+
+@query("catalog_next_page", f"""{ORDERED}
+SELECT posting_id, strftime(posted_at, '%Y-%m-%d') AS posted FROM ranked WHERE rank > 2 * {PAGE} AND rank <= 3 * {PAGE}""")
+def catalog_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page, reached by the cursors of the two before it."""
+    found, cursor = b.postings(spark, sf_dir).filter(f.open_posting()), None
+    for _ in range(2):
+        last = c.next_page(found, cursor, PAGE).collect()[-1]
+        cursor = (last["posted_at"], last["created_at"], last["posting_id"])
+    return c.next_page(found, cursor, PAGE).select("posting_id", F.date_format("posted_at", "yyyy-MM-dd").alias("posted"))
+
+
 @query("posting_company", f"""{o.with_(o.POSTINGS, o.COMPANIES)}
 SELECT posting_id, title, company_name, market FROM postings LEFT JOIN companies USING (company_id)""")
 def posting_company(spark: SparkSession, sf_dir: str) -> DataFrame:

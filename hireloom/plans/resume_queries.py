@@ -514,6 +514,22 @@ def version_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("version_ancestry", f"""WITH RECURSIVE {VERSIONS}, {o.POSTINGS},
+chain(version_id, root_version_id, depth) AS (
+  SELECT version_id, version_id, 0 FROM versions WHERE parent_version_id IS NULL
+  UNION ALL
+  SELECT v.version_id, root_version_id, depth + 1 FROM versions v JOIN chain c ON v.parent_version_id = c.version_id)
+SELECT c.version_id, root_version_id, depth::BIGINT AS depth, false AS cyclic, t.title AS root_posting_title
+FROM chain c JOIN versions r ON r.version_id = root_version_id LEFT JOIN postings t ON t.posting_id = r.posting_id""")
+def version_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first version behind each one, how many edits lie between, and what the first was written for."""
+    versions, posted = _versions(spark, sf_dir), b.postings(spark, sf_dir)
+    first = r.lineage(versions, posted).select(F.col("version_id").alias("root_version_id"), F.col("posting_title").alias("root_posting_title"))
+    return r.ancestry(versions).join(first, "root_version_id", "left").select(
+        "version_id", "root_version_id", "depth", "cyclic", "root_posting_title"
+    )
+
+
 @query("resume_delete", f"""WITH {VERSIONS},
 kept AS (SELECT * FROM versions WHERE resume_id % 7 <> 0),
 gone AS (SELECT * FROM versions WHERE resume_id % 7 = 0)
