@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,3 +62,33 @@ def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     size = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
     if size <= 0 or size > most:
         spark.conf.set(key, str(most))
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 512, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``most`` bytes in a text column, and one row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < len(ends):
+            before = int(ends[at - 1]) if at else 0
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, side="right"))))
+            yield batch.slice(at, to - at)
+            at = to
+        pa.default_memory_pool().release_unused()
+
+
+_CACHES: list[dict] = []
+
+
+def caches(*found: dict) -> None:
+    """Name the caches of an operator that outlive its tasks in a Python worker."""
+    _CACHES.extend(found)
+
+
+def claim(*mine: dict) -> None:
+    """Empty the caches of the other operators: a worker serves one stage after another and keeps what the present one needs."""
+    for other in _CACHES:
+        if not any(other is m for m in mine):
+            other.clear()
+    pa.default_memory_pool().release_unused()

@@ -200,15 +200,106 @@ def test_disguised_words_are_restored():
 
 
 def test_every_disguise_gives_the_stems_of_the_word():
-    texts = ["such a stupid moron and a stupid dämlich moron", "the moron was dämlich and stupid", "plain words about other things"] * 40
-    known = toxicity_module._Features(trigram_costs(count_trigrams([t.encode() for t in texts])).tolist())
-    parts = lambda text: {x for f in known.words(text.encode()) for x in f}
+    texts = ["such a stupid moron and a stupid dämlich moron", "the moron was dämlich and stupid", "plain words about other things", "der dummkopf und die idioten"] * 40
+    known = toxicity_module.Reader(trigram_costs(count_trigrams([t.encode() for t in texts])))
     for text, word in [
         ("such a m o r o n", "moron"), ("I a m o r o n y", "moron"), ("so d ä m l i c h ist", "dämlich"), ("the mo ron went", "moron"), ('a "m 0 r 0 n".', "moron"),
         ("stu-pid", "stupid"), ("st.upid", "stupid"), ("stuupid", "stupid"), ("very s t u p i d words", "stupid"),
+        ("a stup id one", "stupid"), ("die id ioten", "idioten"), ("so stupi d", "stupid"), ("ein d u m m k o p f da", "dummkopf"),
+        ("ѕtupid", "stupid"), ("mоrоn", "moron"), ("stúpid", "stupid"), ("ｍｏｒｏｎ", "moron"), ("damlich dämlich", "dämlich"),
     ]:
-        stems = {zlib.crc32(word[:n].encode()) % toxicity_module.BUCKETS for n in (4, 5, 6)}
-        assert stems <= parts(text), text
+        evidence = np.full(toxicity_module.BUCKETS, -3.0, np.float32)
+        evidence[[*toxicity_module.stems_of(word.encode()[:6])]] = 5.0
+        evidence[[*toxicity_module.stems_of(word.encode()[:5])]] = -3.0
+        if len(word) < 6:
+            evidence[[*toxicity_module.stems_of(word.encode())]] = 5.0
+        assert known.strongest([b"other", text.encode()], evidence, None, -2.0)[:, 0].tolist() == [-2.0, 5.0], text
+
+
+def every_reading(word, costs, spaces=False):
+    """The cheapest reading by trying every way through the lattice."""
+    best = [(float("inf"), "")]
+
+    def go(at, a, b, cost, out):
+        if at == len(word):
+            best[0] = min(best[0], (cost + costs[a][b][0], out))
+            return
+        ch = word[at]
+        skip = None
+        if ch == " " and spaces:
+            options, skip = [(ch, 0.0)], toxicity_module.COST_SPACE
+        else:
+            options = toxicity_module._options(ch)
+            skip = toxicity_module.COST_FILLER if ch in toxicity_module.FILLERS else toxicity_module.COST_REPEAT if at and ch == word[at - 1] else None
+            options = options or ([(ch, 0.0)] if skip is None else [])
+        if skip is not None:
+            go(at + 1, a, b, cost + skip, out)
+        for c, more in options:
+            s = ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
+            go(at + 1, b, s, cost + more + costs[a][b][s], out + c)
+
+    go(0, 0, 0, 0.0, "")
+    return best[0]
+
+
+def test_viterbi_equals_enumeration():
+    rnd = np.random.default_rng(4)
+    costs = trigram_costs(count_trigrams([t.encode() for t in TRIAL])).tolist()
+    cost_of = lambda word, out, spaces: min(c for c, o in [every_reading(word, costs, spaces)] if o == out)
+    for n in range(150):
+        spaces = n % 2 == 0
+        word = "".join(rnd.choice(list("idotlsr1$0.-é" + " " * spaces), rnd.integers(1, 9))).strip() or "x"
+        got = restore(word, costs, spaces)
+        assert cost_of(word, got, spaces) == pytest.approx(every_reading(word, costs, spaces)[0])
+    for n in range(400):
+        word = "".join(rnd.choice(list("idosl"), rnd.integers(1, 9)))
+        fast = toxicity_module.undoubled(word.encode(), costs)
+        assert fast is None or fast.decode() == restore(word, costs)
+
+
+def test_character_counts_equal_a_direct_count():
+    texts = [b"ab c", None, "é1".encode()]
+    table = count_trigrams(texts).reshape(28, 28, 28)
+    flat = [toxicity_module._SYMBOL_OF[c] for c in b"  ".join(t or b"" for t in texts) + b"  "]
+    for x, y, z in zip(flat, flat[1:], flat[2:]):
+        assert (table[x, y, z] > 0) == bool(y or z)
+    assert table.sum() == sum(1 for y, z in zip(flat[1:-1], flat[2:]) if y or z)
+
+
+def test_words_of_a_block_are_the_readings_of_its_tokens():
+    """Words taken all at once and those decoded one by one, each once for a text, with the same stems."""
+    known = toxicity_module.Reader(trigram_costs(count_trigrams([t.encode() for t in TRIAL])))
+    texts = ["idiot Loser. \"went\" (good) aa off, ab seven sixsix bookkeeper idiot IDIOT", None, "", "?? !!", "x", "l0ser dämlich Ätsch ÉCOLE façade ößö straße éé reéx ñandú 'longerword' went! 12 a1b2 mо_x ... -", "word " * 300, "a b"]
+    found = known.read([t.encode() if t is not None else None for t in texts])[0]
+    for i, text in enumerate(texts):
+        want = {w for t in (text or "").split() for w in readings(t, known.costs) if len(w.encode()) > 2}
+        assert {tuple(sorted(x for x in s if x >= 0)) for s in found.stems[found.row == i].tolist()} == {
+            tuple(sorted(x for x in toxicity_module._stemmed(toxicity_module.words_of([w.encode()]), np.zeros(1, np.int64)).stems[0].tolist() if x >= 0)) for w in want
+        }, text
+        assert (found.row == i).sum() == len(want)
+    for word in ("abc", "abcd", "abcdef", "abcdefgh"):
+        parts = {word} | {word[:k] for k in (4, 5, 6)}
+        single = {next(iter(toxicity_module.stems_of(p.encode()[:3]))) if len(p) == 3 else None for p in parts}
+        assert len(toxicity_module.stems_of(word.encode())) == len(parts) and (len(word) > 3 or single <= toxicity_module.stems_of(word.encode()))
+
+
+def test_the_strongest_words_count_once():
+    known = toxicity_module.Reader(trigram_costs(count_trigrams([t.encode() for t in TRIAL])))
+    evidence = np.full(toxicity_module.BUCKETS, -3.0, np.float32)
+    evidence[[*toxicity_module.stems_of(b"idiot")]] = 2.0
+    evidence[[*toxicity_module.stems_of(b"loser")]] = 1.0
+    got = known.strongest([b"idiot idiot Idiot, loser", None, b"plain loser"], evidence, None, -2.5)
+    assert got.tolist() == [[2.0, 1.0, -2.5], [-2.5] * 3, [1.0, -2.5, -2.5]]
+    own = np.full(toxicity_module.BUCKETS, -1.0, np.float32)
+    assert known.strongest([b"idiot", b"idiot"], evidence, [own, evidence], -2.5)[:, 0].tolist() == [-1.0, 2.0]
+
+
+def test_counts_of_blocks_add_up(spark):
+    rnd = np.random.default_rng(2)
+    parts = [rnd.integers(0, 5, 28**3) for _ in range(3)]
+    rows = [(b, p.reshape(28, -1)[b].astype(np.int64).tobytes()) for p in parts for b in range(28)]
+    frame = spark.createDataFrame([(b, bytearray(x)) for b, x in rows], "block int, counts binary")
+    assert (toxicity_module._summed(frame, 28**3) == sum(parts)).all()
 
 
 def test_toxicity_learns_and_holds_out(spark):
