@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hireloom.llm.id_cache import IdCache
-from hireloom.llm.shared import bounded_batches
+from hireloom.llm.shared import bounded_batches, caches, claim, slices
 
 
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -73,15 +74,35 @@ class WordCache(IdCache):
         return self.add(word, self._new(word))
 
     def encode(self, text: bytes) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[bytes | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, ``end_id`` after each where it is given, and the place behind each text's last."""
         self.trim()
-        words = text.split()
-        return self.joined(words, len(words))
+        split = [t.split() if t else [] for t in texts]
+        if end_id is not None:
+            # No word holds a space, so this name of the end is none.
+            end = b" "
+            if end not in self:
+                self.add(end, [end_id])
+            for words in split:
+                words.append(end)
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        which = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        ends = np.append(0, np.cumsum(self.size[which]))
+        return self.gathered(which), ends[np.cumsum(counts)]
+
+
+_KNOWN: dict[str, WordCache] = {}
+caches(_KNOWN)
 
 
-@lru_cache(maxsize=2)
 def _cache(path: str) -> WordCache:
-    """One cache for all tasks of a Python worker."""
-    return WordCache(Tokenizer.from_file(path))
+    """One cache for all tasks of a Python worker, while they pack."""
+    claim(_KNOWN)
+    if path not in _KNOWN:
+        _KNOWN[path] = WordCache(Tokenizer.from_file(path))
+    return _KNOWN[path]
 
 
 class OpenWindows:
@@ -155,17 +176,18 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def _piece_maker(path: str, size: int, end_id: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(path)
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ids = np.append(cache.encode(text or b""), np.int32(end_id)).astype("<u4")
-                for start in range(0, len(ids), size):
-                    part = ids[start : start + size]
-                    rows.append((doc, start, len(part), zlib.crc32(part.tobytes()), len(ids), len(part) < size))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*[pa.int64()] * 5, pa.bool_()], strict=True)] if rows else [pa.array([], t) for t in [*[pa.int64()] * 5, pa.bool_()]],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "fits"],
-            )
+        for part in slices(batches, 1):
+            ids, ends = cache.encode_all(part.column(1).cast(pa.binary()).to_pylist(), end_id)
+            tokens = np.diff(ends, prepend=0)
+            cuts = -(-tokens // size)
+            doc = np.repeat(np.arange(len(tokens)), cuts)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * size
+            length = np.minimum(tokens[doc] - start, size)
+            at = (ends - tokens)[doc] + start
+            raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+            columns = [part.column(0).take(pa.array(doc)), *map(pa.array, (start, length)), pa.array(crc, pa.int64()), pa.array(tokens[doc]), pa.array(length < size)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "fits"])
 
     return pieces
 
