@@ -154,6 +154,27 @@ def place_signals(postings: DataFrame, unit: str = "month") -> DataFrame:
     )
 
 
+def provenance_coverage(contents: DataFrame, sections: list[str], content: str = "content") -> DataFrame:
+    """Per section the records found, those with a source line, and their share (null without records)."""
+
+    def counted(name: str) -> Column:
+        records = F.col(content)[name]
+        grounded = F.filter(records, lambda r: F.size(r["source_fact_ids"]) > 0)
+        count = lambda xs: F.coalesce(F.greatest(F.size(xs), F.lit(0)), F.lit(0)).alias
+        return F.struct(F.lit(name).alias("section"), count(records)("records"), count(grounded)("grounded"))
+
+    records, grounded = F.sum("records"), F.sum("grounded")
+    return (
+        contents.select(F.inline(F.array(*[counted(s) for s in sections])))
+        .groupBy("section")
+        .agg(
+            records.alias("records"),
+            grounded.alias("grounded"),
+            F.round(F.when(records > 0, grounded / records), 4).alias("coverage"),
+        )
+    )
+
+
 def pay_sketches(postings: DataFrame, k: int, unit: str = "month") -> DataFrame:
     """A mergeable quantile sketch of pay, with demand, per location, period and skill.
 

@@ -9,8 +9,10 @@ from hireloom.functions.classify import experience_level, min_years
 from hireloom.functions.text import company_key, tokens
 from hireloom.operators import catalog as c
 from hireloom.operators import filters as f
+from hireloom.operators.text_index import TextIndex
 from hireloom.plans import oracle as o
-from hireloom.plans.registry import query
+from hireloom.plans.registry import QUERIES, query
+from hireloom.session import new_path
 from hireloom.sources import bindings as b
 
 P = o.with_(o.POSTINGS)
@@ -79,6 +81,26 @@ _filter_query(
 _filter_query("filter_open_status", f.open_posting, OPEN)
 
 
+INDEXED = {
+    "index_free_text": ("filter_free_text", lambda index: index.free_text("Small Ring")),
+    "index_catalog_text": ("filter_catalog_text", lambda index: index.catalog_text("BLUE")),
+    "index_catalog_wildcard": ("filter_catalog_wildcard", lambda index: index.catalog_text("s_all%ring", wildcards=True)),
+}
+
+
+def _index_query(name: str, scanned: str, find) -> None:
+    """The rows of a scanning query, by the text index of all postings."""
+
+    @query(name, QUERIES[scanned].sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = TextIndex(spark, new_path(spark, "text-index"), 16).build(b.postings(spark, sf_dir))
+        return find(index).select("posting_id", "title", "location")
+
+
+for _name, (_scanned, _find) in INDEXED.items():
+    _index_query(_name, _scanned, _find)
+
+
 @query("filter_source_tag", f"""{P}
 SELECT 'level' AS kind, posting_id FROM postings WHERE provider = 'naukri' OR posting_id % 4 = 0
   OR ({LEVEL} = 'senior' AND NOT ({YEARS} < 6 AND {LEVEL} = 'junior'))

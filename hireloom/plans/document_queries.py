@@ -328,6 +328,18 @@ def extraction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("provenance_coverage", f"""{R}
+SELECT 'experience' AS section, 2 * count(*) AS records, 2 * count(*) AS grounded, 1.0 AS coverage FROM resumes
+UNION ALL SELECT 'education', count(*), count(*) FILTER (WHERE resume_id % 2 = 0), round(avg((resume_id % 2 = 0)::INT), 4) FROM resumes
+UNION ALL SELECT 'awards', 0, 0, NULL""")
+def provenance_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records against a source text that has lost its education line for every other resume."""
+    line = F.regexp_replace("text", r"BCA \| College[^\n]*", "")
+    texts = b.resume_texts(spark, sf_dir).withColumn("text", F.when(F.col("resume_id") % 2 == 0, F.col("text")).otherwise(line))
+    docs = grounding.ground(_structured(spark, sf_dir).join(texts, "resume_id"))
+    return metrics.provenance_coverage(docs, ["experience", "education", "awards"])
+
+
 @query("contact_fields", """WITH t AS (SELECT doc_id, text,
     regexp_extract(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b') AS email,
     regexp_extract_all(text, '(?i)(?:https?://[^\\s)|]+|www\\.[^\\s)|]+|linkedin\\.com/[^\\s)|]+'

@@ -124,3 +124,24 @@ def test_listing_file(spark, tmp_path):
     assert set(rows) == {"7", "u8"}
     assert rows["7"].title == "Untitled role" and rows["7"].compensation.salary == "9k"
     assert rows["u8"].location == "Remote" and rows["u8"].requirements.skills == []
+
+
+def test_text_index_equals_the_scan_and_reads_few_lists(spark, tmp_path):
+    from hireloom.operators import filters as f
+    from hireloom.operators.text_index import TextIndex, pieces_of
+
+    rows = [(i, f"posting {i}", "common words " + ("needle in hay" if i % 50 == 0 else "nothing else") * (1 + i % 3), "Pune" if i % 7 == 0 else None) for i in range(300)]
+    rows += [(900, "Größe und Maß", None, ""), (901, None, None, None), (902, "ab", "c", "d"), (903, "50%_off", "back\\slash", "x"), (904, "x" * 20_000, "", None)]
+    frame = spark.createDataFrame(rows, "posting_id long, title string, description string, location string")
+    index = TextIndex(spark, str(tmp_path / "index"), 8).build(frame)
+    ids = lambda df: sorted(r.posting_id for r in df.select("posting_id").collect())
+    for q in ("needle", "NEEDLE in", "words needle", "17 common", "größe", "ab", "b c d", "zzz", "posting 299", "", "xxxx", "hay Pune", "back\\slash"):
+        assert ids(index.free_text(q)) == ids(frame.filter(f.free_text(q))), q
+        assert ids(index.catalog_text(q)) == ids(frame.filter(f.catalog_text(q))), q
+    for q in ("%needle%hay", "p_sting 2_", "50%", "n__dle", "%"):
+        assert ids(index.catalog_text(q, wildcards=True)) == ids(frame.filter(f.catalog_text(q, wildcards=True))), q
+    lists = index._rows("lists", ["nee"])
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part" in plan and "PushedFilters: [In(piece" in plan or "EqualTo(piece" in plan
+    assert index.candidates(["needle"]).count() == 6 and index.candidates(["ab"]) is None
+    assert spark.createDataFrame([("abab",), ("ab",), (None,)], "t string").select(pieces_of(F.col("t"))).collect()[0][0] == ["aba", "bab"]
