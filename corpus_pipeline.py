@@ -18,7 +18,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. Other columns than those of ``documents`` go too."""
+    """Documents that the classifier rejects go. Other columns than those of ``documents`` go too.
+
+    A null, empty or wordless text has no evidence and stays, as does every row
+    where no label of either class is known. Rows that repeat, or have a null
+    id, are judged each by its text; very long texts are read whole. A score of
+    0.5 rejects. An empty table stays empty.
+    """
     scored = toxicity(docs, table(spark, sf_dir, "labels"), carry=COLUMNS[1:])
     return scored.where("predicted = 0").select(*COLUMNS)
 
@@ -37,7 +43,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that an earlier document holds go; documents without such words keep their text as it is."""
+    """Words of passages that an earlier document holds go; documents without such words keep their text as it is.
+
+    Earlier is the smaller id, a null id comes last, and rows of one id do not
+    cut each other. Null texts stay null, empty ones empty. A text that loses
+    words has the rest joined by spaces, whatever its length; ``n_chars``
+    follows. An empty table stays empty.
+    """
     found = substring_dedup(docs, carry=("text", "lang", "source", "n_chars"))
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
     size = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))
@@ -45,14 +57,25 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets give way to a mark that names their kind."""
+    """Secrets give way to a mark that names their kind.
+
+    Overlapping ones give one mark, of the kind that begins first. Null texts
+    stay null; texts without secrets, empty and very long ones included, stay
+    as they are. Rows that repeat, or have a null id, are each kept. An empty
+    table stays empty.
+    """
     found = secret_scan(docs, carry=("lang", "source", "n_chars"), masked=True)
     size = F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("masked_text").cast("long"))
     return found.select("doc_id", F.col("masked_text").alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, in sequences of at most 2048 tokens."""
+    """Pieces of all documents, in sequences of at most 2048 tokens.
+
+    A null or empty text is the end token alone; a very long one fills whole
+    sequences first. Rows that repeat, or have a null id, are packed each;
+    pieces of equal length go by id and start. An empty table gives no rows.
+    """
     return packed(docs, public_tokenizers.path(TOKENIZER))
 
 
