@@ -38,6 +38,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{16,}")
 CHECKED_TOKEN = re.compile(rb"(?:gh[pousr]_|npm_)([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+JWT_RUN = re.compile(rb"[A-Za-z0-9_-]*")
 PEM = re.compile(rb"-----BEGIN ([A-Z ]*PRIVATE KEY(?: BLOCK)?)-----[ \t]*(?:\r?\n[A-Za-z][A-Za-z0-9-]*:[^\n]*)*[A-Za-z0-9+/=\s]+-----END \1-----")
 MIN_VALUE, MIN_ACCESS = 12, 18
 KINDS = (*BASE_KINDS, "github", "npm", "jwt", "pem")
@@ -69,9 +70,10 @@ def _checked(match: re.Match) -> bool:
 
 
 def _decodes(match: re.Match) -> bool:
+    """The head is a JSON object that names an algorithm; one nested too deep to read is none."""
     try:
         head = json.loads(base64.urlsafe_b64decode(match[1] + b"=" * (-len(match[1]) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return isinstance(head, dict) and "alg" in head
 
@@ -98,6 +100,9 @@ def find_spans(text: bytes) -> list[tuple[int, int, str]]:
         elif kind == "jwt":
             m = JWT.match(text, at)
             keep = bool(m) and _decodes(m)
+            if not m:
+                # Whether a token follows is the same for every head in this run of characters.
+                last[kind] = JWT_RUN.match(text, at).end()
         else:
             m = PEM.match(text, at)
             keep = bool(m)
@@ -141,7 +146,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     matches are judged; those too short or of a wrong checksum are dropped.
     A null text counts as empty and has no spans; its ``masked_text`` is null.
     Null and repeated ids are allowed. An empty table gives no rows. Other
-    columns are ignored.
+    columns are ignored. Very long texts are scanned in one piece, in time that
+    grows with their length.
     """
     bounded_batches(docs.sparkSession)
     names = [f"c{i}" for i in range(len(carry))]
