@@ -32,7 +32,10 @@ class IdCache(dict):
     def add_all(self, words: list, found: list[list[int]]) -> None:
         """Many new words at once."""
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
+        self.add_flat(words, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size)
+
+    def add_flat(self, words: list, flat: np.ndarray, size: np.ndarray) -> None:
+        """The same, with the ids of all words end to end and how many each has."""
         k = len(self)
         while k + len(words) > len(self.at):
             self.at, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.size))

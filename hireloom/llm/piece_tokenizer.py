@@ -143,41 +143,50 @@ class Encoder:
         self.plain = model.escape and not model.charsmap and not model.squeeze
         self.prefix = MARK if model.dummy_prefix else ""
         self.words = Tokenizer(self.tokenizer.model)
-        self.words.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+        # Marks become spaces in the whole text: the decoder would make a new string of every piece.
+        self.tokenizer.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
+        self.sizes = np.array([1 if kind == BYTE else len(p.encode()) for p, _, kind in model.pieces], np.int64)
         self.known = IdCache(1_000_000)
-        self.lossy: set[str] = set()
 
     def _normal(self, text: str) -> str:
         return self.prefix + text.replace(" ", MARK) if self.plain else self.tokenizer.normalizer.normalize_str(text)
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """The ids of each text, and whether they decode to the text; an empty one has none, though the prefix mark would give one.
-
-        Words are decoded alone too: none ends inside a character, so a text
-        decodes to itself where all its words do.
-        """
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; an empty one has none, though the prefix mark would give one."""
         if not self.by_word:
             batch = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            found = [e.ids if t else [] for e, t in zip(batch, texts, strict=True)]
-            back = self.tokenizer.decode_batch(found, skip_special_tokens=False)
-            return [np.array(x, np.uint32) for x in found], [b == self._plain(t) for b, t in zip(back, texts, strict=True)]
+            return [np.array(e.ids if t else [], np.uint32) for e, t in zip(batch, texts, strict=True)]
         self.known.trim()
         split = [_WORDS.findall(self._normal(t)) if t else [] for t in texts]
         flat = [*chain.from_iterable(split)]
-        places = [*map(self.known.get, flat)]
-        new = [*dict.fromkeys(w for w, k in zip(flat, places, strict=True) if k is None)]
-        found = [e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
-        # All new words are decoded as one text; only if that differs, one by one.
-        if self.words.decode([*chain.from_iterable(found)], skip_special_tokens=False) != "".join(new).replace(MARK, " "):
-            back = self.words.decode_batch(found, skip_special_tokens=False)
-            self.lossy.update(w for w, b in zip(new, back, strict=True) if b != w.replace(MARK, " "))
-        self.known.add_all(new, found)
-        which = np.array([self.known[w] if k is None else k for w, k in zip(flat, places, strict=True)], np.int64)
+        known = self.known
+        new = [w for w in dict.fromkeys(flat) if w not in known]
+        self._add(new)
+        which = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
         ids, ends = self.known.gathered(which).astype(np.uint32), np.cumsum(self.known.size[which])
         cuts = np.append(0, ends)[np.cumsum([len(words) for words in split])]
-        return np.split(ids, cuts[:-1]), [not self.lossy or self.lossy.isdisjoint(words) for words in split]
-
-    def _plain(self, text: str) -> str:
+        return np.split(ids, cuts[:-1])
+
+    def _add(self, new: list[str], group: int = 256) -> None:
+        """Encode new words in sequences of many; the bytes behind the ids tell where each word ends."""
+        groups = [new[i : i + group] for i in range(0, len(new), group)]
+        found = self.words.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)
+        lists = [e.ids for e in found]
+        ids = np.fromiter(chain.from_iterable(lists), np.int32, sum(map(len, lists)))
+        ends = np.cumsum(self.sizes[ids])
+        wanted = np.cumsum(np.fromiter((len(w.encode()) for w in new), np.int64, len(new)))
+        last = np.searchsorted(ends, wanted)
+        if len(ends) and last[-1] == len(ends) - 1 and (ends[last] == wanted).all():
+            self.known.add_flat(new, ids, np.diff(last + 1, prepend=0))
+        else:  # a piece that stands for more or fewer bytes, such as the unknown one
+            self.known.add_all(new, [e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)])
+
+    def decode(self, lists: list[list[int]]) -> list[str]:
+        """The texts of lists of ids, as the whole tokenizer gives them."""
+        texts = [x.replace(MARK, " ") for x in decoded(self.tokenizer, lists)]
+        return [x[1:] if x.startswith(" ") else x for x in texts] if self.prefix else texts
+
+    def plain_text(self, text: str) -> str:
         """What a text decodes to if nothing is lost."""
         out = self._normal(text).replace(MARK, " ") if text else ""
         return out[1:] if self.prefix and out else out
@@ -230,7 +239,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 at = to
 
     def encoded(doc_ids: pa.Array, texts: list[str], known: Encoder) -> pa.RecordBatch:
-        found, whole = known.encode(texts)
+        found = known.encode(texts)
         columns = {"id": doc_ids, "n_tokens": pa.array([len(f) for f in found], pa.int64())}
         if digest:
             columns["ids_crc32"] = pa.array([zlib.crc32(f.astype("<u4").tobytes()) for f in found], pa.int64())
@@ -238,13 +247,12 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             columns["ids"] = pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))
         if verify:
             ref = original(model_path)
-            other = [np.array(x, np.uint32) for x in ref.encode(texts, num_threads=1)]
-            same = [np.array_equal(a, b) for a, b in zip(found, other, strict=True)]
+            mine, other = [f.tolist() for f in found], ref.encode(texts, num_threads=1)
+            same = [a == b for a, b in zip(mine, other, strict=True)]
             columns["parity"] = pa.array(same)
-            columns["n_differing"] = pa.array([0 if s else differing(a, b) for s, a, b in zip(same, found, other, strict=True)], pa.int64())
-            back = decoded(known.tokenizer, [f.tolist() for f in found])
-            theirs = ref.decode([o.tolist() for o in other], num_threads=1)
-            columns["round_trip"] = pa.array([w and b == t for w, b, t in zip(whole, back, theirs, strict=True)])
+            columns["n_differing"] = pa.array([0 if s else differing(np.array(a), np.array(b)) for s, a, b in zip(same, mine, other, strict=True)], pa.int64())
+            back, theirs = known.decode(mine), ref.decode(other, num_threads=1)
+            columns["round_trip"] = pa.array([b == t and b == known.plain_text(x) for b, t, x in zip(back, theirs, texts, strict=True)])
         return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     kind = docs.schema[id_col].dataType.simpleString()
