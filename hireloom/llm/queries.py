@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hireloom.llm.cover_tree import exact_top_k
-from hireloom.llm.licences import LICENCES, NOTICES, canonical_sql, licence_scan
+from hireloom.llm.licences import DIGESTS, LICENCES, NOTICES, canonical_sql, licence_scan
 from hireloom.llm.merkle import merkle_manifest
 from hireloom.llm.near_dedup import near_dedup
 from hireloom.llm.nn_descent import nearest
@@ -168,7 +168,8 @@ def _values(known: list[tuple[str, str]]) -> str:
 
 
 OP7_SQL = f"""
-WITH known AS (SELECT sha256({canonical_sql("t")}) AS digest, min(n) AS licence_id FROM (VALUES {_values(LICENCES)}) v(n, t) GROUP BY 1),
+WITH known AS (SELECT digest, min(n) AS licence_id FROM (SELECT sha256({canonical_sql("t")}) AS digest, n FROM (VALUES {_values(LICENCES)}) v(n, t)
+  UNION ALL SELECT d, n FROM (VALUES {_values(DIGESTS)}) w(n, d)) GROUP BY 1),
 notice AS (SELECT sha256({canonical_sql("t")}) AS digest, min(n) AS name FROM (VALUES {_values(NOTICES)}) v(n, t) GROUP BY 1),
 d AS (SELECT doc_id, sha256({canonical_sql("coalesce(text, '')")}) AS digest FROM documents),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
