@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import pyarrow as pa
 from pyarrow import fs
@@ -20,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hireloom.llm.shared import partitions
+
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -127,20 +130,19 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         number, archive = 0, None
-        for batch in batches:
-            rows = []
-            for page_id, url, payload, digest, size, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if archive is None or archive.at >= archive_bytes:
-                    if archive:
-                        archive.out.close()
-                    archive = _Archive(f"{folder}/archives", f"{context.partitionId():06d}-{context.taskAttemptId()}-{number:04d}.warc.gz")
-                    number += 1
-                offset, length = archive.add(record(page_id, url, payload, digest, refers_to))
-                kind = "response" if refers_to is None else "revisit"
-                rows.append((archive.name, offset, length, page_id, url, digest, size, kind, refers_to))
-            yield _batch(rows, INDEX)
-        if archive:
-            archive.out.close()
+        with ExitStack() as opened:  # closed however the task ends
+            for batch in batches:
+                rows = []
+                for page_id, url, payload, digest, size, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if archive is None or archive.at >= archive_bytes:
+                        opened.close()
+                        archive = _Archive(f"{folder}/archives", f"{context.partitionId():06d}-{context.taskAttemptId()}-{number:04d}.warc.gz")
+                        opened.callback(archive.out.close)
+                        number += 1
+                    offset, length = archive.add(record(page_id, url, payload, digest, refers_to))
+                    kind = "response" if refers_to is None else "revisit"
+                    rows.append((archive.name, offset, length, page_id, url, digest, size, kind, refers_to))
+                yield _batch(rows, INDEX)
 
     ordered = with_revisits(base, least_bytes).select("page_id", "url", "payload", "payload_digest", "payload_bytes", "refers_to")
     index = ordered.mapInArrow(write, INDEX)
@@ -160,30 +162,38 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def read_records(selected: DataFrame, folder: str, stretch: int = 32 << 20, gap: int = 1 << 20, most: int = 8 << 20) -> DataFrame:
     """The records (``RECORDS``) of selected index rows.
 
-    Rows are dealt by archive and ``stretch`` of bytes and sorted by offset;
-    ranges at most ``gap`` apart are joined to reads of at most ``most`` bytes
-    (or one record). Selected rows that repeat give repeated records.
+    Rows are dealt by archive and ``stretch`` of bytes, to a task for each
+    stretch of what they point at, and sorted by offset; ranges at most ``gap``
+    apart are joined to reads of at most ``most`` bytes (or one record).
+    Selected rows that repeat give repeated records. Index rows hold no nulls
+    but ids and URLs; an empty index gives no rows.
     """
+    spark = selected.sparkSession
+    pointed = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    # Spark would size the tasks by the index rows, not by the bytes behind them.
+    tasks = max(partitions(spark), -(-pointed // stretch))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(f"{folder}/archives")
-        opened: tuple[str | None, pa.NativeFile | None] = (None, None)
-        for batch in batches:
-            spans = [*zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
-            at = 0
-            while at < len(spans):
-                name, low, size = spans[at]
-                high, to = low + size, at + 1
-                while to < len(spans) and spans[to][0] == name and spans[to][1] - high <= gap and spans[to][1] + spans[to][2] - low <= most:
-                    high, to = max(high, spans[to][1] + spans[to][2]), to + 1
-                if opened[0] != name:
-                    opened = (name, store.open_input_file(f"{root}/{name}"))
-                data = opened[1].read_at(high - low, low)
-                yield _batch([parse(zlib.decompress(data[o - low : o - low + n], 31)) for _, o, n in spans[at:to]], RECORDS)
-                at = to
+        current, archive = None, None
+        with ExitStack() as opened:
+            for batch in batches:
+                spans = [*zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+                at = 0
+                while at < len(spans):
+                    name, low, size = spans[at]
+                    high, to = low + size, at + 1
+                    while to < len(spans) and spans[to][0] == name and spans[to][1] - high <= gap and spans[to][1] + spans[to][2] - low <= most:
+                        high, to = max(high, spans[to][1] + spans[to][2]), to + 1
+                    if current != name:
+                        opened.close()
+                        current, archive = name, opened.enter_context(store.open_input_file(f"{root}/{name}"))
+                    data = archive.read_at(high - low, low)
+                    yield _batch([parse(zlib.decompress(data[o - low : o - low + n], 31)) for _, o, n in spans[at:to]], RECORDS)
+                    at = to
 
     places = selected.select("archive", "offset", "length", F.floor(F.col("offset") / stretch).alias("part"))
-    dealt = places.repartition("archive", "part").sortWithinPartitions("archive", "offset")
+    dealt = places.repartition(tasks, "archive", "part").sortWithinPartitions("archive", "offset")
     return dealt.select("archive", "offset", "length").mapInArrow(read, RECORDS)
 
 
@@ -191,7 +201,10 @@ def read_pages(selected: DataFrame, folder: str) -> DataFrame:
     """``page_id``, ``url``, ``payload_bytes``, ``payload_digest``, ``record_type`` and ``refers_to`` as read from the archives.
 
     Size and digest of a response are computed from its payload; a revisit
-    takes those of the response to which it refers, which must be selected too.
+    takes those of the response to which it refers, which must be selected too;
+    where it is not, size and digest are null. A null html was written as an
+    empty payload. Rows that repeat come back as often; an empty index gives no
+    rows.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
