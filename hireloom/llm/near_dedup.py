@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hireloom.llm.graph import components
-from hireloom.llm.shared import bounded_batches, new_folder, remove, written
+from hireloom.llm.shared import bounded_batches, claim, new_folder, remove, slices, written
 from hireloom.llm.words import mixed, window_hashes, word_hashes, words_of
 
 ROWS, BANDS = 6, 56
@@ -100,18 +100,16 @@ _SKETCH = "id long, n_shingles long, digest binary, buckets array<long>"
 
 def _sketcher(shingle: int, rows: int, band_count: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
-            for at in range(0, len(texts), 512):
-                part = texts[at : at + 512]
-                values, first = shingle_sets(part, shingle)
-                found = bands(signatures(values, first, rows * band_count), rows)
-                sizes = np.diff(first)
-                digests = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(first[:-1], first[1:], strict=True)]
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, band_count, 0))]), pa.int32()), pa.array(found[sizes > 0].ravel(), pa.int64())
-                )
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 512), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], ["id", "n_shingles", "digest", "buckets"])
+        claim()
+        for part in slices(batches, 1):
+            values, first = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), shingle)
+            found = bands(signatures(values, first, rows * band_count), rows)
+            sizes = np.diff(first)
+            digests = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(first[:-1], first[1:], strict=True)]
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, band_count, 0))]), pa.int32()), pa.array(found[sizes > 0].ravel(), pa.int64())
+            )
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], ["id", "n_shingles", "digest", "buckets"])
 
     return sketch
 
@@ -137,12 +135,11 @@ def _similar(threshold: int):
 
 def _packer(shingle: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for at in range(0, len(texts), 256):
-                values, first = shingle_sets(texts[at : at + 256], shingle)
-                packed = [values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(packed, pa.binary())], ["id", "items"])
+        claim()
+        for part in slices(batches, 1):
+            values, first = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), shingle)
+            packed = [values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["id", "items"])
 
     return pack
 
