@@ -236,6 +236,39 @@ def test_private_keys_with_headers_are_found():
         assert secrets.find_spans(b"x " + text + b" y") == [(2, 2 + len(text), "pem")]
 
 
+def test_heads_that_nest_without_end_are_no_tokens():
+    import base64
+
+    head = lambda raw: base64.urlsafe_b64encode(raw).rstrip(b"=")
+    deep = head(b'{"' + b'a":{"' * 20_000)
+    arrays = head(b'{"alg":' + b"[" * 20_000)
+    good = head(b'{"alg":"HS256"}') + b".e30.c2ln"
+    text = b" ".join([deep + b".e30.x", arrays + b".e30.x", good])
+    assert [s for s in secrets.find_spans(text) if s[2] == "jwt"] == [(len(text) - len(good), len(text), "jwt")]
+
+
+@pytest.mark.parametrize(
+    "part,size",
+    [(b"eyJ", 1 << 20), (b"eyJa.", 1 << 18), (b"eyJa.eyJ ", 1 << 18), (b"-----BEGIN PRIVATE KEY-----\nA: b\n", 1 << 20), (b"token=", 1 << 20), (b"password ", 1 << 20), (b"AKIA", 1 << 20)],
+)
+def test_secrets_in_endless_runs_take_little_time(part, size):
+    import time
+
+    text = part * (size // len(part))
+    start = time.process_time()
+    found = secrets.find_spans(text)
+    assert time.process_time() - start < 2.0
+    assert found == secrets.find_spans(text) and all(a < b for a, b, _ in found)
+
+
+def test_a_token_after_a_run_of_heads_is_found():
+    import base64
+
+    good = base64.urlsafe_b64encode(b'{"alg":"none"}').rstrip(b"=") + b".e30.s"
+    text = b"eyJ" * 50 + b" " + good
+    assert (151, 151 + len(good), "jwt") in secrets.find_spans(text)
+
+
 def test_secret_scan_of_an_empty_table(frame):
     assert secrets.secret_scan(frame([])).count() == 0
 
@@ -261,8 +294,10 @@ def test_pieces_of_odd_texts_and_back(spark):
     assert encoder.by_word
     plain = Encoder(PieceModel.read(open(MODEL, "rb").read()))
     plain.by_word = False
-    (found, kept), (slow, slow_kept) = encoder.encode(texts), plain.encode(texts)
-    assert kept == slow_kept == [True] * len(texts)
+    found, slow = encoder.encode(texts), plain.encode(texts)
+    assert [original(MODEL).decode(f.tolist()) for f in found] == [encoder.plain_text(t) for t in texts]
+    lists = [f.tolist() for f in found]
+    assert encoder.decode(lists) == PieceModel.read(open(MODEL, "rb").read()).build().decode_batch(lists, skip_special_tokens=False)
     for t, a, b in zip(texts, found, slow):
         assert a.tolist() == b.tolist() == original(MODEL).encode(t)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -271,6 +306,19 @@ def test_pieces_of_odd_texts_and_back(spark):
     assert encode_pieces(docs.limit(0), MODEL).count() == 0
 
 
+def test_words_in_sequences_have_the_ids_of_words_alone():
+    encoder = Encoder(PieceModel.read(open(MODEL, "rb").read()))
+    words = [MARK + w for w in ("a", "straße", "日本語", "😀x", "\x00", "plain", "ab\ncd", "z" * 300)] + [MARK * 3, "é", MARK]
+    encoder._add(words, group=3)
+    want = [e.ids for e in encoder.words.encode_batch_fast(words, add_special_tokens=False)]
+    assert [encoder.known.of(encoder.known[w]) for w in words] == want
+    encoder.sizes = encoder.sizes + 1
+    encoder.known.clear()
+    encoder.known.used = 0
+    encoder._add(words)
+    assert [encoder.known.of(encoder.known[w]) for w in words] == want
+
+
 def test_a_differing_decoder_shows_in_round_trip(spark, tmp_path):
     """A copy of the model, whose encoder gets another decoder."""
     from tokenizers import decoders
@@ -323,6 +371,53 @@ def test_unigram_models_are_rebuilt():
     assert tokenizer.decode(tokenizer.encode("ab aé").ids, skip_special_tokens=False) == "ab aé"
 
 
+def test_licences_with_titles_wraps_and_list_marks(frame):
+    """Usual files: a title, a copyright statement, other widths and marks."""
+    import textwrap
+
+    known = dict(LICENCES)
+    wrapped = lambda text, width: "\n\n".join("\n".join(textwrap.wrap(p, width)) for p in text.split("\n"))
+    bullets = known["BSD-3-Clause"].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 Some One\n\n" + wrapped(known["MIT"], 80), "MIT"),
+        (2, "The MIT License (MIT)\n\nCopyright © 2011-2020 Some One <a@b.example>\nAll rights reserved.\n\n" + wrapped(known["MIT"], 72), "MIT"),
+        (3, "BSD 3-Clause License\n\nCopyright 2019, Some One\n\n" + wrapped(bullets, 60), "BSD-3-Clause"),
+        (4, "Copyright (c) 2019, Some One\nPortions Copyright (c) 2021 Others\n\n" + wrapped(known["BSD-2-Clause"].replace("1. ", "(1) ").replace("2. ", "(2) "), 78), "BSD-2-Clause"),
+        (5, "ISC License\n\nCopyright (c) 2001 X\n\n" + wrapped(known["ISC"], 70), "ISC"),
+        (6, "zlib License\n\n(C) 1995 Y\n\n" + wrapped(known["Zlib"], 66), "Zlib"),
+        (7, "BSD Zero Clause License\n\nCopyright (C) 2006 by Z\n\n" + known["0BSD"], "0BSD"),
+        (8, "MIT License", None), (9, wrapped(known["MIT"], 80) + "\nand one more rule", None),
+    ]
+    got = {r.doc_id: r.licence_id for r in licence_scan(frame([r[:2] for r in rows])).collect()}
+    assert got == {i: want for i, _, want in rows}
+
+
+def test_published_licence_files_are_known(frame):
+    """Texts that many systems carry, as they are and wrapped anew."""
+    import textwrap
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "GFDL-1.3": "GFDL-1.3"}
+    found = [(name, (folder / name).read_text(errors="replace")) for name in names if (folder / name).exists()]
+    if not found:
+        pytest.skip("no licence files on this system")
+    rows, want = [], {}
+    for n, (name, text) in enumerate(found):
+        again = "\n\n".join(
+            p if re.search(r"(?i)copyright *(\(c\)|[0-9<\[]|©)", p) else "\n".join(textwrap.wrap(p, 66, break_on_hyphens=False, break_long_words=False)) for p in re.split(r"\n\s*\n", text)
+        )
+        for k, t in enumerate((text, text.upper(), again, text.replace("  ", " "))):
+            rows.append((10 * n + k, t))
+            want[10 * n + k] = names[name]
+    assert {r.doc_id: r.licence_id for r in licence_scan(frame(rows)).collect()} == want
+
+
+def test_the_list_of_known_texts_is_bounded(frame):
+    with pytest.raises(ValueError):
+        licence_scan(frame([]), digests=[("x", str(i)) for i in range(100_001)])
+
+
 def test_licences_agree_over_spelling_and_notices(frame):
     mit = dict(LICENCES)["MIT"]
     changed = "Copyright (c) 2020 Some One\n\n" + mit.replace("sublicense", "sub-licence").replace('"AS IS"', "“AS IS”".replace("“", "'").replace("”", "'")).upper()
