@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from hireloom.llm.shared import bounded_batches
+from hireloom.llm.shared import bounded_batches, claim
 from hireloom.llm.words import row_windows, word_hashes, words_of
 
 _LAST = np.iinfo(np.int64).max
@@ -63,6 +63,7 @@ _MASKS = "chunk int, bucket int, mask binary"
 
 
 def _send(table: pa.Table, window: int, buckets: int) -> pa.Table:
+    claim()
     c = _Chunk(table, window, buckets)
     packed, chunk = c.packed(), table["chunk"][0].as_py()
     full = np.flatnonzero(np.diff(c.edges))
@@ -100,6 +101,7 @@ def _count(table: pa.Table) -> pa.Table:
 
 
 def _cut(docs: pa.Table, masks: pa.Table, window: int, buckets: int, carried: list[str], schema: pa.Schema) -> pa.Table:
+    claim()
     if not docs.num_rows:
         return schema.empty_table()
     c = _Chunk(docs, window, buckets)

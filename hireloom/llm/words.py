@@ -15,7 +15,8 @@ import numpy as np
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SLICE = 1 << 20
+#: Bytes or words hashed at once; the tables of powers are kept and have about as many entries.
+_SLICE = 1 << 17
 
 
 @lru_cache(maxsize=1)
