@@ -26,10 +26,16 @@ def build_session(app: str = "hireloom", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which is shared too."""
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which is shared too.
+
+    A warehouse on the local disk is shared on one machine only, so elsewhere it is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set and the warehouse is a local folder")
+        configured = warehouse + "/_intermediate"
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
 
