@@ -76,7 +76,7 @@ class RankTable:
 
     def page(self, limit: int = 50, offset: int = 0) -> DataFrame:
         """Rows ``offset`` to ``offset + limit`` in order, with their ``rank`` (from 1); only partitions that hold some are read."""
-        ends = [*list(self.before.values())[1:], self.total]
+        ends = [*self.before.values(), self.total][1:]
         wanted = [p for (p, first), end in zip(self.before.items(), ends, strict=True) if first < offset + limit and end > offset]
         first = F.lit(0).cast("long")
         for part in wanted:
