@@ -55,6 +55,31 @@ def test_exact_top_k_equals_brute_force(spark, vectors, data_block, query_block)
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
 
 
+def test_exact_top_k_of_large_components_is_exact(spark):
+    """Scores of about 2**60, more than a double holds exactly, some of them one apart."""
+    rnd = np.random.default_rng(5)
+    x = rnd.integers(-(2**20), 2**20, (120, 6)).astype(float)
+    x[60:, :] = x[0]
+    x[60:, 5] += np.arange(60) / 256
+    want = []
+    whole = [[int(np.floor(256 * c)) for c in v] for v in x]
+    for q in range(0, 120, 50):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in enumerate(whole) if i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:5], 1)]
+    for blocks in ({}, {"data_block": 20, "query_block": 2}):
+        got = exact_top_k(vector_frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]), F.col("vec_id") % 50 == 0, **blocks).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want
+
+
+def test_exact_top_k_finds_each_copy_of_a_row(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.0]), (2, [0.25, 0.0]), (0, [1.0, 0.0])]
+    found = exact_top_k(vector_frame(spark, rows[:5]), F.col("vec_id") == 0, each=True).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(1, 65536), (1, 65536), (2, 32768), (2, 16384)]
+    # A repeated query row finds every candidate once more.
+    found = exact_top_k(vector_frame(spark, rows), F.col("vec_id") == 0, each=True).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id) for r in found] == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 2)]
+
+
 def test_exact_top_k_of_few_rows(spark, vectors):
     frame = vector_frame(spark, vectors[:3])
     assert [(r.query_id, r.rank) for r in exact_top_k(frame, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1), (0, 2)]
