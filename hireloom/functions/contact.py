@@ -10,6 +10,7 @@ from hireloom.functions.text import blank_to_null, first_items
 
 EMAIL = f"(?i){vocab.EMAIL_PATTERN}"
 URL = f"(?i)(?:{vocab.URL_PATTERN})"
+CONTACT_PARTS = f"(?i){vocab.EMAIL_PATTERN}|{vocab.URL_PATTERN}"
 CONTACT_LINE = f"(?i){vocab.EMAIL_PATTERN}|{vocab.PHONE_PATTERN}|{vocab.URL_PATTERN}"
 
 
@@ -18,7 +19,9 @@ def email(text: Column) -> Column:
 
 
 def phone(text: Column) -> Column:
-    found = blank_to_null(F.regexp_extract(text, vocab.PHONE_PATTERN, 0))
+    """The first number outside of mail addresses and links, whose digits are no phone number."""
+    numbers = F.regexp_extract_all(text, F.lit(f"{CONTACT_PARTS}|({vocab.PHONE_PATTERN})"), F.lit(1))
+    found = F.get(F.filter(numbers, lambda x: x != ""), F.lit(0))
     return F.trim(F.regexp_replace(found, r"(?U)\s+", " "))
 
 

@@ -106,6 +106,12 @@ def test_contact(spark):
     assert one(spark, body, contact.links) == ["https://a.example", "www.b.example"]
 
 
+def test_digits_of_addresses_and_links_are_no_phone(spark):
+    body = "c100000@mail.example.com | github.com/a1234567 | https://x.example/9876543210 | +91 98765 43210"
+    assert one(spark, body, contact.phone) == "+91 98765 43210"
+    assert one(spark, "c1000000015@mail.example.com", contact.phone) is None
+
+
 def test_sql_functions(spark):
     sql.register(spark)
     row = spark.sql(
