@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hireloom import vocab
-from hireloom.functions.text import blank_to_null
+from hireloom.functions.text import blank_to_null, let
 
 _ISO = (
     r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?)?(Z|[+-]\d{2}:?\d{2})?$"
@@ -27,7 +27,8 @@ def is_present(text: Column) -> Column:
 
 
 def has_range(text: Column) -> Column:
-    return text.rlike(_RANGE)
+    """Whether a text holds a range. Each range has a year, which is found much sooner."""
+    return text.rlike(r"(?U)\d{4}") & text.rlike(_RANGE)
 
 
 def has_date(text: Column) -> Column:
@@ -40,26 +41,30 @@ def date_range(text: Column) -> Column:
     A range at the end wins over one inside the text. A range up to now is
     current and has no end.
     """
-    trailing = text.rlike(_TRAILING)
-    pattern_start = F.when(trailing, F.regexp_extract(text, _TRAILING, 1)).otherwise(
-        F.regexp_extract(text, _RANGE, 1)
-    )
-    pattern_end = F.when(trailing, F.regexp_extract(text, _TRAILING, 2)).otherwise(
-        F.regexp_extract(text, _RANGE, 2)
-    )
-    rest = F.when(trailing, F.regexp_replace(text, _TRAILING, "")).otherwise(
-        F.regexp_replace(text, _RANGE, "")
-    )
-    current = F.coalesce(is_present(pattern_end), F.lit(False))
-    dated = has_range(text)
-    return F.struct(
-        blank_to_null(pattern_start).alias("start"),
-        F.when(~current, blank_to_null(pattern_end)).alias("end"),
-        current.alias("is_current"),
-        F.when(dated, F.regexp_replace(rest, r"^[ |·•\-–—]+|[ |·•\-–—]+$", ""))
-        .otherwise(text)
-        .alias("rest"),
-    )
+
+    def found(t: Column, pattern: str) -> Column:
+        def parts(end: Column) -> Column:
+            current = F.coalesce(is_present(end), F.lit(False))
+            rest = F.regexp_replace(t, pattern, "")
+            return F.struct(
+                blank_to_null(F.regexp_extract(t, pattern, 1)).alias("start"),
+                F.when(~current, blank_to_null(end)).alias("end"),
+                current.alias("is_current"),
+                F.regexp_replace(rest, r"^[ |·•\-–—]+|[ |·•\-–—]+$", "").alias("rest"),
+            )
+
+        return let(F.regexp_extract(t, pattern, 2), parts)
+
+    def read(t: Column) -> Column:
+        null = F.lit(None).cast("string")
+        none = F.struct(
+            null.alias("start"), null.alias("end"), F.lit(False).alias("is_current"), t.alias("rest")
+        )
+        # A text without any range has none at its end either.
+        dated = F.when(t.rlike(_TRAILING), found(t, _TRAILING)).otherwise(found(t, _RANGE))
+        return F.when(has_range(t), dated).otherwise(none)
+
+    return let(text, read)
 
 
 def parsed_date(text: Column) -> Column:

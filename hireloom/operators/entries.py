@@ -71,15 +71,24 @@ def is_role_header(line: Column) -> Column:
 
 def _place_split(right: Column) -> Column:
     """"Company, City" into both parts when the last part is short."""
-    parts = F.filter(F.transform(F.split(right, ","), strip), lambda p: p != "")
-    last = F.try_element_at(parts, F.lit(-1))
-    split = right.contains(",") & (F.size(parts) >= 2) & (word_count(last) <= 4)
-    return F.struct(
-        blank_to_null(
-            F.when(split, F.array_join(F.slice(parts, 1, F.size(parts) - 1), ", ")).otherwise(right)
-        ).alias("name"),
-        F.when(split, last).alias("location"),
-    )
+
+    def read(text: Column, parts: Column) -> Column:
+        last = F.try_element_at(parts, F.lit(-1))
+        split = text.contains(",") & (F.size(parts) >= 2) & (word_count(last) <= 4)
+        return let(
+            split,
+            lambda cut: F.struct(
+                blank_to_null(
+                    F.when(cut, F.array_join(F.slice(parts, 1, F.size(parts) - 1), ", ")).otherwise(text)
+                ).alias("name"),
+                F.when(cut, last).alias("location"),
+            ),
+        )
+
+    def split_at_commas(text: Column) -> Column:
+        return let(F.filter(F.transform(F.split(text, ","), strip), lambda p: p != ""), lambda parts: read(text, parts))
+
+    return let(right, split_at_commas)
 
 
 def role_header(line: Column) -> Column:
@@ -91,22 +100,22 @@ def role_header(line: Column) -> Column:
         right = _trim(F.regexp_extract(rest, r"^[^|]*\|(.*)$", 1), r" |\-–—")
         piped = rest.contains("|")
         at = F.lower(rest).contains(" at ") & ~piped
-        place = _place_split(right)
         title = (
             F.when(piped, left)
             .when(at, F.regexp_extract(rest, r"(?i)^(.*?)\s+at\s+", 1))
             .otherwise(rest)
         )
-        company = F.when(piped, place["name"]).when(
-            at, blank_to_null(strip(F.regexp_replace(rest, r"(?i)^.*?\s+at\s+", "")))
-        )
-        return F.struct(
-            blank_to_null(strip(title)).alias("title"),
-            company.alias("company"),
-            F.when(piped, place["location"]).alias("location"),
-            d["start"].alias("start"),
-            d["end"].alias("end"),
-            d["is_current"].alias("is_current"),
+        behind = F.when(at, blank_to_null(strip(F.regexp_replace(rest, r"(?i)^.*?\s+at\s+", ""))))
+        return let(
+            F.when(piped, _place_split(right)),
+            lambda place: F.struct(
+                blank_to_null(strip(title)).alias("title"),
+                F.when(piped, place["name"]).otherwise(behind).alias("company"),
+                place["location"].alias("location"),
+                d["start"].alias("start"),
+                d["end"].alias("end"),
+                d["is_current"].alias("is_current"),
+            ),
         )
 
     return let(date_range(strip(line)), parse)
@@ -411,10 +420,12 @@ def contact_location(header: Column) -> Column:
     )
 
 
-def structure_documents(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Text table to canonical resume table, one narrow stage without a shuffle."""
+def structure_documents(
+    docs: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Text table to canonical resume table, one narrow stage without a shuffle; ``keep`` names columns that stay."""
     found = F.col("_sections")
-    base = docs.select(key, normal_text(F.col(text)).alias("_text")).withColumn(
+    base = docs.select(key, *keep, normal_text(F.col(text)).alias("_text")).withColumn(
         "_sections", segments(F.col("_text"))
     )
     part = {
@@ -454,4 +465,4 @@ def structure_documents(docs: DataFrame, key: str, text: str = "text") -> DataFr
         ).alias("personal"),
         F.col("_links").alias("links"),
     )
-    return staged.select(key, content.cast(schemas.RESUME_CONTENT).alias("content"))
+    return staged.select(key, *keep, content.cast(schemas.RESUME_CONTENT).alias("content"))

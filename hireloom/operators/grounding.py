@@ -43,8 +43,10 @@ def _lines(text: Column) -> Column:
     return F.filter(lowered, lambda x: x["text"] != "")
 
 
-def _grounded(entries: Column, lines: Column, needles) -> Column:
-    def one(e: Column) -> Column:
+def _grounded(entries: Column, text: Column, needles) -> Column:
+    """Entries with their line ids. The lines are bound outside of the entries and their needles; without entries none are needed."""
+
+    def one(e: Column, lines: Column) -> Column:
         return let(
             line_ids(lines, needles(e)),
             lambda ids: e.withField(
@@ -52,42 +54,25 @@ def _grounded(entries: Column, lines: Column, needles) -> Column:
             ),
         )
 
-    return F.transform(entries, one)
+    found = let(_lines(text), lambda lines: F.transform(entries, lambda e: one(e, lines)))
+    return F.when(F.size(entries) > 0, found).otherwise(entries)
 
 
 def ground(docs: DataFrame, content: str = "content", text: str = "text") -> DataFrame:
     """Attach line ids to every record; content and text sit in the same row."""
-    body, lines = F.col(content), F.col("_lines")
+    body = F.col(content)
 
     def bullets(e: Column) -> Column:
         return F.coalesce(e["bullets"], str_array([]))
 
-    out = (
-        body.withField(
-            "experience",
-            _grounded(
-                body["experience"], lines,
-                lambda e: F.concat(F.array(e["title"], e["company"]), bullets(e)),
-            ),
-        )
-        .withField(
-            "education",
-            _grounded(body["education"], lines, lambda e: F.array(e["institution"], e["degree"])),
-        )
-        .withField(
-            "projects",
-            _grounded(
-                body["projects"], lines,
-                lambda e: F.concat(F.array(e["title"], e["organization"]), bullets(e)),
-            ),
-        )
-        .withField(
-            "certifications",
-            _grounded(body["certifications"], lines, lambda e: F.array(e["title"], e["issuer"])),
-        )
-        .withField(
-            "awards",
-            _grounded(body["awards"], lines, lambda e: F.array(e["title"], e["issuer"])),
-        )
-    )
-    return docs.withColumn("_lines", _lines(F.col(text))).withColumn(content, out).drop("_lines")
+    needles = {
+        "experience": lambda e: F.concat(F.array(e["title"], e["company"]), bullets(e)),
+        "education": lambda e: F.array(e["institution"], e["degree"]),
+        "projects": lambda e: F.concat(F.array(e["title"], e["organization"]), bullets(e)),
+        "certifications": lambda e: F.array(e["title"], e["issuer"]),
+        "awards": lambda e: F.array(e["title"], e["issuer"]),
+    }
+    out = body
+    for part, of in needles.items():
+        out = out.withField(part, _grounded(body[part], F.col(text), of))
+    return docs.withColumn(content, out)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hireloom import vocab
-from hireloom.functions.text import let, str_array, str_map, strip, word_count
+from hireloom.functions.text import WHITE_SPACE, let, str_array, str_map, strip, word_count
 
 _LINE_END = "\\r\\n|[\\n\\r\\u000B\\u000C\\u001C-\\u001E\\u0085\\u2028\\u2029]"
 _ALIASES = {alias: key for key, names in vocab.SECTION_HEADINGS.items() for alias in names}
@@ -33,9 +33,7 @@ def normal_text(raw: Column) -> Column:
 def text_lines(text: Column) -> Column:
     """Lines without trailing blanks; a final newline opens no further line."""
     body = F.regexp_replace(text, f"(?:{_LINE_END})\\z", "")
-    lines = F.transform(
-        F.split(body, _LINE_END), lambda x: F.regexp_replace(x, r"(?U)\s+$", "")
-    )
+    lines = F.transform(F.split(body, _LINE_END), lambda x: F.rtrim(x, F.lit(WHITE_SPACE)))
     return F.when(F.coalesce(text, F.lit("")) == "", str_array([])).otherwise(lines)
 
 
@@ -92,11 +90,15 @@ def _body(lines: Column) -> Column:
         lines,
         lambda x: let(
             strip(x["text"]),
-            lambda t: F.struct(
-                x["no"].alias("no"),
-                x["text"].alias("text"),
-                section_name(t).alias("section"),
-                heading_rest(t).alias("rest"),
+            lambda t: let(
+                section_name(t),
+                # Only the first line of a run tells what follows its heading.
+                lambda s: F.struct(
+                    x["no"].alias("no"),
+                    x["text"].alias("text"),
+                    s.alias("section"),
+                    F.when(s.isNotNull(), heading_rest(t)).alias("rest"),
+                ),
             ),
         ),
     )

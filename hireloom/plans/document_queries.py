@@ -239,8 +239,13 @@ def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.segment_documents(docs, "doc_id").select("doc_id", "section", "text")
 
 
-def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entries.structure_documents(b.resume_texts(spark, sf_dir), "resume_id")
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows in as many tasks as a shuffle has: small rows that cost much work each would be put into a few."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.columns[0])
+
+
+def _structured(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return entries.structure_documents(_spread(b.resume_texts(spark, sf_dir)), "resume_id", keep=keep)
 
 
 @query("structured_resumes", f"""{R}, r AS (SELECT *, {TITLE} AS shown FROM resumes)
@@ -300,8 +305,7 @@ h AS (SELECT resume_id, no, min(i * 1000 + no) AS pos FROM n JOIN l USING (resum
 SELECT resume_id, array_to_string(list('L' || lpad(no::VARCHAR, 3, '0') ORDER BY pos), ',') AS ids
 FROM h GROUP BY 1""")
 def grounded_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = b.resume_texts(spark, sf_dir)
-    docs = _structured(spark, sf_dir).join(texts, "resume_id")
+    docs = _structured(spark, sf_dir, "text")
     ids = F.col("content.experience")[0]["source_fact_ids"]
     return grounding.ground(docs).select("resume_id", F.array_join(ids, ",").alias("ids"))
 
@@ -335,8 +339,8 @@ UNION ALL SELECT 'awards', 0, 0, NULL""")
 def provenance_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records against a source text that has lost its education line for every other resume."""
     line = F.regexp_replace("text", r"BCA \| College[^\n]*", "")
-    texts = b.resume_texts(spark, sf_dir).withColumn("text", F.when(F.col("resume_id") % 2 == 0, F.col("text")).otherwise(line))
-    docs = grounding.ground(_structured(spark, sf_dir).join(texts, "resume_id"))
+    source = F.when(F.col("resume_id") % 2 == 0, F.col("text")).otherwise(line)
+    docs = grounding.ground(_structured(spark, sf_dir, "text").withColumn("text", source))
     return metrics.provenance_coverage(docs, ["experience", "education", "awards"])
 
 

@@ -151,3 +151,20 @@ def test_text_index_equals_the_scan_and_reads_few_lists(spark, tmp_path):
     assert "PartitionFilters: [part" in plan and "PushedFilters: [In(piece" in plan or "EqualTo(piece" in plan
     assert index.candidates(["needle"]).count() == 6 and index.candidates(["ab"]) is None
     assert spark.createDataFrame([("abab",), ("ab",), (None,)], "t string").select(pieces_of(F.col("t"))).collect()[0][0] == ["aba", "bab"]
+
+
+def test_strip_equals_the_unicode_pattern(spark):
+    """Trimming by characters takes off what the pattern for white space took, for every character of the first plane."""
+    code = F.lpad(F.hex("id"), 4, "0")
+    chars = spark.range(0x10000).where("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(code), "UTF-16BE").alias("c"))
+    rows = chars.select(F.explode(F.array("c", F.concat("c", F.lit("a b"), "c", F.lit("\n")))).alias("t"))
+    assert rows.where(text.strip(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).count() == 0
+
+
+def test_date_range_binds_its_text(spark):
+    """A text that takes work is worked out once, not for every pattern."""
+    ranged = spark.range(1).select(dates.date_range(F.upper(F.concat(F.lit("Lead "), F.col("id").cast("string"), F.lit(" Jan 2020 - Present")))).alias("d"))
+    assert ranged.select("d.start", "d.is_current", "d.rest").first() == ("JAN 2020", True, "LEAD 0")
+    assert ranged._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+    null = F.lit(None).cast("string")
+    assert spark.range(1).select(dates.date_range(null).alias("d")).select("d.*").first() == (None, None, False, None)

@@ -165,3 +165,11 @@ def test_upload_rules(spark):
     good, bad = uploads.register(rows)
     assert [(r.title, r.extension) for r in good.collect()] == [("b_c.pdf", "pdf")]
     assert {r.reason for r in bad.collect()} == {"empty_file", "unsupported_type"}
+
+
+def test_grounded_roles_derives_its_texts_once(spark):
+    """The text stays beside what is read from it; both were derived, and joined, before. Lines are bound outside of the needles."""
+    from __spark_entry__ import queries
+
+    plan = queries()["grounded_roles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_linenumber#") and sum("Relation" in x and "l_partkey" in x for x in plan.splitlines()) == 1
