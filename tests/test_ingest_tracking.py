@@ -139,3 +139,28 @@ def test_duplicates_in_every_script_and_without_titles(spark):
     ]
     frame = spark.createDataFrame(rows, "posting_id long, company_name string, title string, location string").withColumn("provider_rank", F.lit(0))
     assert {r.posting_id: r.canonical_id for r in i.merge_duplicates(frame).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}
+
+
+def test_first_row_per_key_carries_the_columns_read_only(spark):
+    """Whole rows went through the shuffle before, whatever a query read of them."""
+    from __spark_entry__ import queries
+
+    plan = queries()["observation_dedupe"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_type" not in plan.split("Relation")[0] and "l_quantity" not in plan.split("Relation")[0]
+
+
+def test_neighbours_are_dealt_once(spark):
+    """Rows and the links of their chunks come from one shuffle; a row has its neighbour across chunks and within."""
+    from pyspark.sql import functions as F
+
+    from hireloom.operators.ordered import first_wins, latest, neighbour
+
+    rows = spark.createDataFrame([("a", 1, 10), ("a", 2, None), ("a", 9, 30), ("b", 4, 40)], "k string, t int, v int")
+    chunk = F.floor(F.col("t") / 5)
+    before = neighbour(rows, ["k"], ["t"], F.col("v"), "near", chunk)
+    after = neighbour(rows, ["k"], ["t"], F.col("v"), "near", chunk, following=True)
+    show = lambda df: sorted((r["k"], r["t"], r["near"]) for r in df.collect())
+    assert show(before) == [("a", 1, None), ("a", 2, 10), ("a", 9, None), ("b", 4, None)]
+    assert show(after) == [("a", 1, None), ("a", 2, 30), ("a", 9, None), ("b", 4, None)]
+    assert sorted(first_wins(rows, ["k"], ["t"]).collect()) == [("a", 1, 10), ("b", 4, 40)]
+    assert sorted(latest(rows, ["k"], ["t"]).collect()) == [("a", 9, 30), ("b", 4, 40)]
