@@ -287,8 +287,9 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [c for c in i.SNAPSHOT_FIELDS if c in rows.columns]
     from hireloom.functions.text import checksum
 
+    # As bytes the checksum takes half the room in every shuffle.
     marked = rows.select(
-        *i.KEY, "retrieved_at", "position", checksum(*fields).alias("checksum")
+        *i.KEY, "retrieved_at", "position", F.unhex(checksum(*fields)).alias("checksum")
     )
     linked = neighbour(
         marked, i.KEY, ["retrieved_at", "position"], F.col("checksum"), "before",
