@@ -105,7 +105,7 @@ def _job_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      F.lit("/?trk=x")))
         .otherwise(F.concat(F.lit("https://x.example/search?currentJobId="), number))
     )
-    return b.postings(spark, sf_dir).select(
+    return b.spread(b.postings(spark, sf_dir)).select(
         key.alias("page_id"),
         url.alias("url"),
         F.when(layout == 0, markup).when(layout == 1, json_ld).when(layout == 2, og)
@@ -239,13 +239,8 @@ def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.segment_documents(docs, "doc_id").select("doc_id", "section", "text")
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Rows in as many tasks as a shuffle has: small rows that cost much work each would be put into a few."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.columns[0])
-
-
 def _structured(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    return entries.structure_documents(_spread(b.resume_texts(spark, sf_dir)), "resume_id", keep=keep)
+    return entries.structure_documents(b.spread(b.resume_texts(spark, sf_dir)), "resume_id", keep=keep)
 
 
 @query("structured_resumes", f"""{R}, r AS (SELECT *, {TITLE} AS shown FROM resumes)

@@ -234,16 +234,15 @@ def read_pages(pages: DataFrame, override: str | None = None) -> DataFrame:
         F.when(F.ltrim(html).startswith("{"), from_json_payload(html)),
         lambda p: _with_override(p, pasted, always=True),
     )
-    return pages.withColumn(
-        "page",
-        F.coalesce(
-            answer,
-            attempt(from_markup(html)),
-            attempt(from_json_ld(html)),
-            attempt(from_og(html)),
-            from_pasted(pasted),
-        ),
+    page = F.coalesce(
+        answer,
+        attempt(from_markup(html)),
+        attempt(from_json_ld(html)),
+        attempt(from_og(html)),
+        from_pasted(pasted),
     )
+    # A row of its own list: Spark would put a filter on a plain column below it and read each page twice.
+    return pages.select("*", F.explode(F.array(page)).alias("page"))
 
 
 def postings_from_pages(

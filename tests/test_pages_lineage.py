@@ -78,3 +78,13 @@ def test_merged_sketches_keep_their_rank_error(spark):
             assert abs(sum(p <= r[name] for p in pays) / len(pays) - share) < 0.03
     unpaid = frame.withColumn("pay_min", F.lit(None).cast("double"))
     assert metrics.sketch_quantiles(metrics.pay_sketches(unpaid, 200), {"mid": 0.5}).where("mid IS NOT NULL").count() == 0
+
+
+def test_pages_and_payloads_are_read_once(spark):
+    """A filter on what was read from a page or a payload worked it out a second time before."""
+    from __spark_entry__ import queries
+
+    for name, mark in (("job_pages", "top-card-layout__title"), ("repaired_payloads", "(?:json)?")):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        filters = [x for x in plan.split("\n") if "Filter" in x[:80]]
+        assert "Generate explode(array(" in plan and not any(mark in x for x in filters)
