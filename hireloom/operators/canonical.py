@@ -35,11 +35,9 @@ def parse_object(text: Column) -> Column:
     bare = F.regexp_replace(
         F.regexp_replace(strip(text), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""
     )
-    found = F.coalesce(
-        F.try_parse_json(bare),
-        F.try_parse_json(blank_to_null(F.regexp_extract(bare, r"(?s)\{.*\}", 0))),
-    )
-    return F.when(F.schema_of_variant(found).startswith("OBJECT"), found)
+    inner = lambda b: blank_to_null(F.regexp_extract(b, r"(?s)\{.*\}", 0))
+    found = let(bare, lambda b: F.coalesce(F.try_parse_json(b), F.try_parse_json(inner(b))))
+    return let(found, lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
 
 
 def _node(v: Column, key: str) -> Column:
@@ -571,7 +569,8 @@ def _repaired(v: Column, o: Column) -> Column:
 
 def repair_payloads(payloads: DataFrame, key: str, body: str) -> tuple[DataFrame, DataFrame]:
     """Repaired contents, and the payloads that hold no JSON object."""
-    parsed = payloads.withColumn("_v", parse_object(F.col(body)))
+    # A row of its own list: Spark would put a filter on a plain column below it and parse each body twice.
+    parsed = payloads.select("*", F.explode(F.array(parse_object(F.col(body)))).alias("_v"))
     good = parsed.filter(F.col("_v").isNotNull()).select(key, repair(F.col("_v")).alias("content"))
     bad = parsed.filter(F.col("_v").isNull()).select(key, F.lit("invalid_json").alias("reason"))
     return good, bad

@@ -68,7 +68,7 @@ def _loose(spark: SparkSession, sf_dir: str) -> DataFrame:
             "languages": F.array(F.lit("English")),
         }
     )
-    return b.resumes(spark, sf_dir).select(
+    return b.spread(b.resumes(spark, sf_dir)).select(
         "resume_id",
         F.concat(F.regexp_replace(body, r"\}$", ""), F.lit(',"skills":'), mixed, F.lit("}")).alias(
             "body"
@@ -178,7 +178,7 @@ def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("https://g.example").alias("github"),
         )
     )
-    return b.resumes(spark, sf_dir).select(
+    return b.spread(b.resumes(spark, sf_dir)).select(
         "resume_id",
         F.when(rid % 4 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
         .when(rid % 4 == 1, F.concat(F.lit("Here it is: "), body, F.lit(" done")))
