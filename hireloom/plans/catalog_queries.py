@@ -93,7 +93,7 @@ def _index_query(name: str, scanned: str, find) -> None:
 
     @query(name, QUERIES[scanned].sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        index = TextIndex(spark, new_path(spark, "text-index"), 16).build(b.postings(spark, sf_dir))
+        index = TextIndex(spark, new_path(spark, "text-index"), 16).build(b.spread(b.postings(spark, sf_dir)))
         return find(index).select("posting_id", "title", "location")
 
 
