@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hireloom.llm.shared import new_folder, remove, written
+from hireloom.llm.shared import bounded_batches, new_folder, remove, slices, written
 
 _LISTS = "id long, ids binary, sims binary"
 _OFFERS = "bucket int, owners binary, ids binary, sims binary"
@@ -29,17 +29,36 @@ _PRIME = 2_147_483_647
 _LOWEST = np.float32(-np.inf)
 
 
-def _decoded(values: list[bytes]) -> np.ndarray:
+def _floats(raw: np.ndarray) -> np.ndarray:
     """Codes as rows of floats: the components, last the one that makes lengths equal."""
-    if not values:
+    if not len(raw):
         return np.zeros((0, 1), np.float32)
-    raw = np.frombuffer(b"".join(values), np.int16).reshape(len(values), -1)
     head = raw[:, :4].copy().view(np.float32)
-    return np.column_stack([raw[:, 4:] * head[:, :1], head[:, 1:]])
+    out = np.empty((len(raw), raw.shape[1] - 3), np.float32)
+    np.multiply(raw[:, 4:], head[:, :1], out=out[:, :-1])
+    out[:, -1] = head[:, 1]
+    return out
+
+
+def _decoded(values: list[bytes]) -> np.ndarray:
+    return _floats(np.frombuffer(b"".join(values), np.int16).reshape(len(values), -1)) if values else _floats([])
+
+
+def _raw(column: pa.ChunkedArray) -> np.ndarray:
+    """Codes as 16-bit numbers, a row each, where Arrow holds them; only several chunks are copied."""
+    parts = []
+    for chunk in column.chunks:
+        if len(chunk):
+            kind = np.int64 if pa.types.is_large_binary(chunk.type) else np.int32
+            ends = np.frombuffer(chunk.buffers()[1], kind)[chunk.offset : chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(chunk), -1).view(np.int16))
+    if not parts:
+        return np.zeros((0, 4), np.int16)
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def _codes(column: pa.ChunkedArray) -> np.ndarray:
-    return _decoded(column.to_pylist())
+    return _floats(_raw(column))
 
 
 def _halves(x: np.ndarray) -> np.ndarray:
@@ -54,8 +73,23 @@ def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(values), kind), np.repeat(np.arange(len(values)), size)
 
 
-def _best_lists(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k most similar distinct ids of each owner, best first: owners, ids, sims."""
+def _best_lists(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k most similar distinct ids of each owner, best first: owners, ids, sims.
+
+    Long input goes in parts by owner: sorting holds several copies of what it sorts.
+    """
+    parts = -(-len(owner) // most)
+    if parts < 2:
+        return _best_sorted(owner, ids, sims, k)
+    part = (owner % parts).astype(np.int32)
+    found = []
+    for p in range(parts):
+        mine = np.flatnonzero(part == p)
+        found.append(_best_sorted(owner[mine], ids[mine], sims[mine], k))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _best_sorted(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((ids, owner))
     owner, ids, sims = owner[order], ids[order], sims[order]
     new = np.ones(len(ids), bool)
@@ -70,7 +104,7 @@ def _best_lists(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) ->
 
 
 def _list_table(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> pa.Table:
-    """Rows of ``_LISTS`` from values sorted by owner."""
+    """Rows of ``_LISTS`` from values of which those of an owner lie together."""
     start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
     cuts = np.append(start, len(owner))
     nodes = owner[start]
@@ -240,6 +274,49 @@ def _back(edges: DataFrame, reverse: int) -> DataFrame:
     return turned.withColumn("at", F.row_number().over(order)).where(F.col("at") <= reverse).select("id", "other")
 
 
+def _compared(table: pa.Table, k: int, offers: int, buckets: int) -> pa.Table:
+    """Offers from the neighbours of each node, compared with each other. Codes are decoded for 256 nodes at a time."""
+    node, other, bar = (table[n].to_numpy() for n in ("id", "other", "bar"))
+    raw = _raw(table["code"])
+    order = np.lexsort((other, node))
+    order = order[np.concatenate([[True], (node[order][1:] != node[order][:-1]) | (other[order][1:] != other[order][:-1])])]
+    node, other, bar = node[order], other[order], bar[order]
+    start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    size = np.diff(np.append(start, len(node)))
+    column = np.arange(len(node)) - np.repeat(start, size)
+    width, best = int(size.max()), [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)]
+    found_now: list[list[np.ndarray]] = [[], [], []]
+    for at in range(0, len(start), 256):
+        low, high = start[at], start[at + 255] + size[at + 255] if at + 255 < len(start) else len(node)
+        codes = _floats(raw[order[low:high]])
+        row = np.repeat(np.arange(len(size[at : at + 256])), size[at : at + 256])
+        x = np.zeros((len(size[at : at + 256]), width, codes.shape[1]), np.float32)
+        x[row, column[low:high]] = codes
+        index = np.full(x.shape[:2], -1, np.int64)
+        index[row, column[low:high]] = np.arange(low, high)
+        h = np.zeros(x.shape[:2], np.float32)
+        h[row, column[low:high]] = _halves(codes)
+        s = x @ x.transpose(0, 2, 1) - h[:, :, None] - h[:, None, :]
+        s[np.broadcast_to((index < 0)[:, None, :], s.shape)] = _LOWEST
+        s[:, np.arange(width), np.arange(width)] = _LOWEST
+        take = min(offers, width - 1)
+        if take < 1:
+            continue
+        top = np.argpartition(-s, take - 1, axis=2)[:, :, :take]
+        found = np.take_along_axis(s, top, 2)
+        of = np.broadcast_to(index[:, :, None], found.shape)
+        to = np.take_along_axis(np.broadcast_to(index[:, None, :], s.shape), top, 2)
+        good = (of >= 0) & (to >= 0)
+        good &= found > np.where(good, bar[of], np.inf)
+        for kept, new in zip(found_now, (other[of[good]], other[to[good]], found[good]), strict=True):
+            kept.append(new)
+        # What has come together is cut to the k best of each node before more comes.
+        if sum(map(len, found_now[0])) > max(1 << 18, len(best[0])) or at + 256 >= len(start):
+            best = list(_best_lists(*(np.concatenate([b, *kept]) for b, kept in zip(best, found_now, strict=True)), k))
+            found_now = [[], [], []]
+    return _offer_table(*best, buckets)
+
+
 def _round(lists: DataFrame, nodes: DataFrame, k: int, reverse: int, offers: int, buckets: int) -> DataFrame:
     """Lists improved by comparing the neighbours of each node with each other, and how many entries of each are new."""
     edges = _edges(lists)
@@ -255,41 +332,7 @@ def _round(lists: DataFrame, nodes: DataFrame, k: int, reverse: int, offers: int
     met = members.join(barred, "other").withColumn("bucket", _bucket_of("id", buckets))
 
     def local(table: pa.Table) -> pa.Table:
-        node, other, bar = (table[n].to_numpy() for n in ("id", "other", "bar"))
-        codes = _codes(table["code"])
-        order = np.lexsort((other, node))
-        order = order[np.concatenate([[True], (node[order][1:] != node[order][:-1]) | (other[order][1:] != other[order][:-1])])]
-        node, other, bar, codes = node[order], other[order], bar[order], codes[order]
-        start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-        size = np.diff(np.append(start, len(node)))
-        column, half = np.arange(len(node)) - np.repeat(start, size), _halves(codes)
-        width, owners, others, sims = int(size.max()), [], [], []
-        for at in range(0, len(start), 256):
-            low, high = start[at], start[at + 255] + size[at + 255] if at + 255 < len(start) else len(node)
-            row = np.repeat(np.arange(len(size[at : at + 256])), size[at : at + 256])
-            x = np.zeros((len(size[at : at + 256]), width, codes.shape[1]), np.float32)
-            x[row, column[low:high]] = codes[low:high]
-            index = np.full(x.shape[:2], -1, np.int64)
-            index[row, column[low:high]] = np.arange(low, high)
-            h = np.where(index < 0, 0, half[index])
-            s = x @ x.transpose(0, 2, 1) - h[:, :, None] - h[:, None, :]
-            s[np.broadcast_to((index < 0)[:, None, :], s.shape)] = _LOWEST
-            s[:, np.arange(width), np.arange(width)] = _LOWEST
-            take = min(offers, width - 1)
-            if take < 1:
-                continue
-            top = np.argpartition(-s, take - 1, axis=2)[:, :, :take]
-            found = np.take_along_axis(s, top, 2)
-            of = np.broadcast_to(index[:, :, None], found.shape)
-            to = np.take_along_axis(np.broadcast_to(index[:, None, :], s.shape), top, 2)
-            good = (of >= 0) & (to >= 0)
-            good &= found > np.where(good, bar[of], np.inf)
-            owners.append(other[of[good]])
-            others.append(other[to[good]])
-            sims.append(found[good])
-        if not owners:
-            return _offer_table(*[np.empty(0, np.int64)] * 3, buckets)
-        return _offer_table(*_best_lists(*map(np.concatenate, (owners, others, sims)), k), buckets)
+        return _compared(table, k, offers, buckets)
 
     offered = met.select("bucket", "id", "other", "code", "bar").groupBy("bucket").applyInArrow(local, _OFFERS)
 
@@ -314,17 +357,13 @@ def _adjacency(lists: DataFrame, nodes: DataFrame, reverse: int, buckets: int) -
 
     def pack(table: pa.Table) -> pa.Table:
         node, other = table["id"].to_numpy(), table["other"].to_numpy()
-        codes = np.array(table["code"].to_pylist(), object)
         order = np.argsort(node, kind="stable")
-        start = np.flatnonzero(np.concatenate([[True], node[order][1:] != node[order][:-1]]))
-        groups = np.split(order, start[1:])
-        return pa.table(
-            {
-                "id": pa.array(node[order][start]),
-                "ids": pa.array([other[g].tobytes() for g in groups], pa.binary()),
-                "codes": pa.array([b"".join(codes[g]) for g in groups], pa.binary()),
-            }
-        )
+        node = node[order]
+        start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        raw, cuts = _raw(table["code"])[order], np.append(start, len(node))
+        # The rows of a node lie together, so that its list is a stretch of one buffer.
+        joined = lambda x: pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((cuts * x[:1].nbytes).astype(np.int32)), pa.py_buffer(x)])
+        return pa.table({"id": pa.array(node[start]), "ids": joined(other[order]), "codes": joined(raw)})
 
     return met.select("bucket", "id", "other", "code").groupBy("bucket").applyInArrow(pack, "id long, ids binary, codes binary")
 
@@ -377,7 +416,7 @@ def _step(state: DataFrame, adjacency: DataFrame, width: int, pool: int) -> Data
     wanted = state.select("part", "query", "code", "next").mapInArrow(spread, "part int, query long, code binary, id long")
 
     def score(batches):
-        for batch in batches:
+        for batch in slices(batches, 4):
             sims = []
             for code, codes in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 # The query's own last component counts as 0.
@@ -441,6 +480,7 @@ def nearest(
     longest vectors and as many drawn by hash.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     folder = new_folder(spark, "neighbours")
     good = F.expr(
         "v IS NOT NULL AND id IS NOT NULL AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) AND exists(v, x -> x <> 0)"

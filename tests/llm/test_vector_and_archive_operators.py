@@ -1,12 +1,14 @@
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from hireloom.llm import nn_descent, warc
 from hireloom.llm import toxicity as toxicity_module
-from hireloom.llm import warc
 from hireloom.llm.cover_tree import build, exact_top_k, search
 from hireloom.llm.graph import components
 from hireloom.llm.nn_descent import nearest
@@ -357,3 +359,49 @@ def test_toxicity_without_labels_or_rows(spark):
     assert [(r.score, r.predicted) for r in toxicity(docs, marks).collect()] == [(0.0, 0)]
     assert toxicity(docs.limit(0), marks).count() == 0
     assert character_costs(docs.limit(0)).shape == (28, 28, 28)
+
+
+def member_table(nodes=700, degree=48, width=64):
+    """The neighbours of the nodes of one task, with codes, in two chunks as they come from Arrow."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(nodes, width)).astype(np.float32)
+    x /= 2 * np.linalg.norm(x, axis=1, keepdims=True)
+    scale = np.abs(x).max(1) / 32767
+    codes = [np.array([s, 0.1], np.float32).tobytes() + np.round(v / s).astype(np.int16).tobytes() for v, s in zip(x, scale, strict=True)]
+    other = np.concatenate([rng.choice(nodes, degree, replace=False) for _ in range(nodes)])
+    whole = pa.table({
+        "bucket": pa.array(np.zeros(len(other)), pa.int32()), "id": np.repeat(np.arange(nodes), degree), "other": other,
+        "code": pa.array([codes[o] for o in other], pa.binary()), "bar": pa.array(np.full(len(other), -1e30), pa.float32()),
+    })
+    half = len(other) // 2
+    return pa.concat_tables([whole.slice(0, half), whole.slice(half)]), x
+
+
+def test_offers_of_a_task_need_little_more_than_its_table():
+    table, _ = member_table(4000)
+    tracemalloc.start()
+    offers = nn_descent._compared(table, 32, 8, 13)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert offers.num_rows == 13 and peak < 3 * table.nbytes
+
+
+def test_offers_are_the_best_of_each_node():
+    table, x = member_table(60, 12)
+    owner, ids, sims = nn_descent._offered(nn_descent._compared(table, 5, 11, 3))
+    best = {}
+    members = table["other"].to_numpy().reshape(60, 12)
+    for near in members:
+        for a in near:
+            best.setdefault(a, {}).update({b: -((x[a] - x[b]) ** 2).sum() / 2 for b in near if b != a})
+    got = {a: set(ids[owner == a]) for a in np.unique(owner)}
+    assert {a: set(sorted(found, key=found.get)[-5:]) for a, found in best.items()} == got and len(sims) == 5 * len(got)
+
+
+def test_lists_cut_in_parts_are_the_same():
+    rng = np.random.default_rng(4)
+    owner, ids = rng.integers(0, 50, 4000), rng.integers(0, 90, 4000)
+    sims = ((owner * 31 + ids * 17) % 101).astype(np.float32)
+    whole, parts = (nn_descent._best_lists(owner, ids, sims, 6, most) for most in (10_000, 300))
+    order = np.argsort(parts[0], kind="stable")
+    assert all((a == b[order]).all() for a, b in zip(whole, parts, strict=True))
